@@ -49,11 +49,11 @@ def g4(t):
 
 @query(
     "g5_map_attributes",
-    with_graph("""select e.src, e.dst, round(e.amount / 1000, 4) as thousands, s.role || '>' || d.role as roles
+    with_graph("""select e.src, e.dst, round(e.amount / 1000, 6) as thousands, s.role || '>' || d.role as roles
         from edges e join vertices s on s.id = e.src join vertices d on d.id = e.dst"""),
 )
 def g5(t):
-    g = link_graph(t).map_edges(thousands=F.round(F.col("amount") / 1000, 4))
+    g = link_graph(t).map_edges(thousands=F.round(F.col("amount") / 1000, 6))
     g = g.map_triplets(roles=F.concat_ws(">", "src_role", "dst_role"))
     return g.edges.select("src", "dst", "thousands", "roles")
 
