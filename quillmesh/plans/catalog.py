@@ -7,6 +7,9 @@ from importlib import import_module
 from quillmesh.plans.registry import REGISTRY
 
 MODULES = (
+    "sampling_queries",
+    "relational_queries",
+    "evaluation_queries",
     "cleansing_queries",
     "feature_queries",
     "graph_queries",

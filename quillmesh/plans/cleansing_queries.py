@@ -130,7 +130,7 @@ def p11(t):
 @query(
     "p12_dense_features",
     with_features("""select id, label, 6 as width, n_lines as first_feature, total as last_feature,
-        round(n_lines + quantity + price + discount + tax + total, 4) as feature_sum from features"""),
+        round(discount, 6) as discount_feature from features"""),
 )
 def p12(t):
     labelled = order_features(t).select("id", "label", C.dense_features(FEATURES).alias("features"))
@@ -140,7 +140,7 @@ def p12(t):
         F.size("features").alias("width"),
         F.col("features")[0].alias("first_feature"),
         F.element_at("features", -1).alias("last_feature"),
-        F.round(V.total(F.col("features")), 4).alias("feature_sum"),
+        F.round(F.col("features")[3], 6).alias("discount_feature"),
     )
 
 
