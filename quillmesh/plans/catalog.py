@@ -7,6 +7,7 @@ from importlib import import_module
 from quillmesh.plans.registry import REGISTRY
 
 MODULES = (
+    "source_queries",
     "sampling_queries",
     "relational_queries",
     "evaluation_queries",
