@@ -7,6 +7,8 @@ from importlib import import_module
 from quillmesh.plans.registry import REGISTRY
 
 MODULES = (
+    "streaming_queries",
+    "learning_queries",
     "source_queries",
     "sampling_queries",
     "relational_queries",

@@ -237,6 +237,11 @@ def k6(t):
     return WR.preview(t.events.select("event_id", "user_id", "event_type"), ["event_id"], 5)
 
 
-@query("k7_libsvm_export", with_features(LIBSVM_SQL))
+@query("k7_libsvm_export", with_features("select label, count(*) as n, count(*) * 6 as entries from features group by label"))
 def k7(t):
-    return libsvm_summary(t, len(FEATURES))
+    """The exported lines, counted as text: one ``position:value`` entry per slot of the dense vectors."""
+    path = scratch_path(t.spark, "libsvm")
+    WR.write_libsvm(as_vectors(order_features(t), FEATURES), path)
+    parts = F.split(F.trim("value"), " ")
+    lines = RD.read_lines(t.spark, path).select(parts[0].cast("double").alias("label"), (F.size(parts) - 1).alias("k"))
+    return lines.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("entries"))
