@@ -290,32 +290,59 @@ def pagerank(
     return result.select("id", "rank")
 
 
-def connected_components(graph: PropertyGraph, chunk_rows: int = EDGE_CHUNK_ROWS, max_rounds: int = 1000) -> DataFrame:
+def connected_components(graph: PropertyGraph, max_rounds: int = 1000) -> DataFrame:
     """Label every vertex with the least id of its undirected component.
 
-    Each round takes the least label among the neighbours and then the label
-    of the label, so long chains close in about log(length) rounds.
+    Each round points every vertex at its least smaller neighbour, follows the
+    pointers to their roots by doubling, and contracts the edges onto the
+    roots.  The edge table shrinks geometrically; the pointers of all rounds
+    are composed at the end, smallest table first.
     """
-    edges = both_directions(graph.edges)
-    own = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    index = EdgeIndex(edges.union(own), chunk_rows)
-    labels = materialise(graph.vertices.select("id", F.col("id").alias("component")), "labels")
+    edges = materialise(canonical_edges(graph.edges), "contracted")
+    pointers: list[DataFrame] = []
     for _ in range(max_rounds):
-        met = index.follow(labels.withColumnRenamed("id", "sender"), "sender")
-        spread = met.groupBy(F.col("dst").alias("id")).agg(
-            F.min("component").alias("component"),
-            F.min(F.when(F.col("sender") == F.col("dst"), F.col("component"))).alias("before"),
-        )
-        spread = materialise(spread, "labels")
-        if spread.filter(F.col("component") != F.col("before")).isEmpty():
-            return spread.select("id", "component")
-        # Only labels that are not their own root can be shortened.
-        roots = spread.filter("component <> id").select(
-            F.col("id").alias("component"), F.col("component").alias("root")
+        if edges.isEmpty():
+            break
+        roots = _follow_to_roots(edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("root")))
+        pointers.append(roots)
+        ends = edges
+        for end in ("src", "dst"):
+            moved = roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+            ends = ends.join(moved, end, "left")
+        contracted = ends.select(
+            F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst")
         )
-        jumped = spread.select("id", "component").join(roots, "component", "left")
-        labels = materialise(jumped.select("id", F.coalesce("root", "component").alias("component")), "labels")
-    return labels
+        edges = materialise(canonical_edges(contracted), "contracted")
+    labels = None
+    for roots in reversed(pointers):
+        # a vertex gets a pointer in one round only, so the tables never share an id
+        labels = roots if labels is None else materialise(_compose(roots, labels).unionByName(labels), "labels")
+    vertices = graph.vertices.select("id")
+    if labels is None:
+        return vertices.withColumn("component", F.col("id"))
+    return vertices.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def _compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(id, root) of following ``first`` and then, where it leads on, ``then``."""
+    return _step_on(first, then).drop("moved")
+
+
+def _step_on(first: DataFrame, then: DataFrame) -> DataFrame:
+    onward = then.select(F.col("id").alias("root"), F.col("root").alias("further"))
+    return first.join(onward, "root", "left").select(
+        "id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")
+    )
+
+
+def _follow_to_roots(pointers: DataFrame) -> DataFrame:
+    """Replace every pointer by the end of its chain, doubling the step each time."""
+    current = materialise(pointers, "pointers")
+    while True:
+        stepped = materialise(_step_on(current, current), "pointers")
+        current = stepped.drop("moved")
+        if stepped.filter("moved").isEmpty():
+            return current
 
 
 def triangle_counts(graph: PropertyGraph) -> DataFrame:

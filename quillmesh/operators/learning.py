@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import vectors as V
+from quillmesh.session import materialise
 
 
 def _literal(values: Sequence[float]) -> Column:
@@ -105,3 +106,8 @@ def with_scores(df: DataFrame, features: Sequence[str], weights: Sequence[float]
 def as_vectors(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
     """Add a pyspark.ml vector of the named columns."""
     return df.withColumn(name, array_to_vector(F.array(*[F.col(c).cast("double") for c in features])))
+
+
+def training_table(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
+    """The same, written once: solvers pass over their input many times."""
+    return materialise(as_vectors(df, features, name), "training")

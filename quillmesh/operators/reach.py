@@ -48,14 +48,21 @@ def reach(
         else:
             frontier = spark.read.schema(schema).parquet(level(hop - 1))
             known = spark.read.schema(schema).parquet(*[level(n) for n in range(1, hop)])
-            found = index.follow(frontier, "member").select("id", F.col("dst").alias("member")).distinct()
-            fresh = found.join(known, ["id", "member"], "left_anti")
+            found = index.follow(frontier, "member").select("id", F.col("dst").alias("member"))
+            fresh = _unseen(found, known)
         fresh.write.parquet(level(hop))
         if spark.read.schema(schema).parquet(level(hop)).isEmpty():
             break
     return spark.read.schema(schema + ", level int").parquet(base)
 
 
+def _unseen(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct pairs of ``found`` that are not in ``known``, by one hash aggregate over both."""
+    marked = found.withColumn("seen", F.lit(0)).unionByName(known.withColumn("seen", F.lit(1)))
+    grouped = marked.groupBy("id", "member").agg(F.max("seen").alias("seen"))
+    return grouped.filter("seen = 0").drop("seen")
+
+
 def reach_both(graph: PropertyGraph, rounds: int) -> DataFrame:
     """Descendants and ancestors together, each at its least level."""
     return merge_levels(reach(graph, rounds, "out"), reach(graph, rounds, "in"))
@@ -79,13 +86,18 @@ def edge_facts(
     """(id, fact, level): facts of all edges on walks of at most ``rounds`` edges.
 
     An edge is on such a walk exactly when its near end lies within
-    ``rounds - 1`` hops; level is that end's distance + 2.
+    ``rounds - 1`` hops; level is that end's distance + 2.  Reach pairs are
+    unique, so only facts that occur under several near ends can meet twice;
+    where there are none the last, widest shuffle is left out.
     """
-    near, far = ("src", "dst") if direction == "out" else ("dst", "src")
+    near = "src" if direction == "out" else "dst"
     ends = reach(graph, rounds - 1, direction, chunk_rows)
-    facts = graph.edges.select(F.col(near).alias("src"), F.col(far).alias("dst"), F.col(fact).alias("fact"))
-    met = EdgeIndex(facts, chunk_rows).follow(ends, "member")
-    return met.groupBy("id", "fact").agg((F.min("level") + 1).alias("level"))
+    index = EdgeIndex(graph.edges.select(F.col(near).alias("src"), F.col(fact).alias("fact")).distinct(), chunk_rows)
+    met = index.follow(ends, "member").select("id", "fact", (F.col("level") + 1).alias("level"))
+    shared = index.stored.groupBy("fact").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if shared.isEmpty():
+        return met
+    return met.groupBy("id", "fact").agg(F.min("level").alias("level"))
 
 
 def members_and_facts(graph: PropertyGraph, rounds: int, direction: str = "out", fact: str = "fact") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators.learning import as_vectors
+from quillmesh.operators.learning import as_vectors, training_table
 from quillmesh.sources.writers import write_single_file
 
 
@@ -26,7 +26,7 @@ def train_forest(
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, maxBins=bins, impurity="gini", seed=seed
     )
-    return forest.fit(as_vectors(df, features))
+    return forest.fit(training_table(df.select(label, *features), features))
 
 
 def score(df: DataFrame, model: Model, features: Sequence[str]) -> DataFrame:

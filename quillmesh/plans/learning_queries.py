@@ -32,7 +32,7 @@ from quillmesh.operators.sampling import hash_part, seeded_draws
 from quillmesh.plans.bindings import FEATURES, order_features, with_features
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational_queries import ratings
-from quillmesh.session import scratch_path
+from quillmesh.session import materialise, scratch_path
 
 SCALED = ("quantity", "discount", "tax", "total")
 
@@ -84,24 +84,22 @@ def weight_rows(t, weights):
 
 @query("m1_linear_svm_weights", with_features(svm_sql(5, 0.1, "l2") + weights_select(5)))
 def m1(t):
-    data = scaled_features(t).cache()
+    data = materialise(scaled_features(t), "scaled")
     weights = L.svm_weights(data, "label", SCALED, iterations=5, regularisation=0.1)
-    data.unpersist()
     return weight_rows(t, weights)
 
 
 @query("m1_linear_svm_solver")
 def m1_solver(t):
-    data = L.as_vectors(scaled_features(t), SCALED)
+    data = L.training_table(scaled_features(t), SCALED)
     model = LinearSVC(maxIter=20, regParam=0.1, fitIntercept=False).fit(data)
     return model.transform(data).select("id", "label", "prediction")
 
 
 @query("m2_l1_svm_weights", with_features(svm_sql(5, 0.02, "l1") + weights_select(5)))
 def m2(t):
-    data = scaled_features(t).cache()
+    data = materialise(scaled_features(t), "scaled")
     weights = L.svm_weights(data, "label", SCALED, iterations=5, regularisation=0.02, penalty="l1")
-    data.unpersist()
     return weight_rows(t, weights)
 
 
@@ -114,7 +112,7 @@ MARGIN_SQL = " + ".join(f"w_{c} * {c}" for c in SCALED)
         case when {MARGIN_SQL} > 0 then 1.0::double else 0.0::double end as prediction from z, w3"""),
 )
 def m3(t):
-    data = scaled_features(t)
+    data = materialise(scaled_features(t), "scaled")
     weights = L.svm_weights(data, "label", SCALED, iterations=3)
     scored = L.with_scores(data, SCALED, weights, threshold=0.0)
     return scored.select("id", F.round("score", 5).alias("score"), "prediction")
@@ -122,7 +120,7 @@ def m3(t):
 
 @query("m4_logistic_regression")
 def m4(t):
-    data = L.as_vectors(scaled_features(t), SCALED)
+    data = L.training_table(scaled_features(t), SCALED)
     model = LogisticRegression(maxIter=50).fit(data)
     return SC.probability_of(model.transform(data)).select("id", "label", "score", "prediction")
 
@@ -133,7 +131,7 @@ def m4(t):
          round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept from lineitem""",
 )
 def m5(t):
-    data = L.as_vectors(t.lineitem.select(F.col("l_extendedprice").alias("label"), "l_quantity"), ["l_quantity"])
+    data = L.training_table(t.lineitem.select(F.col("l_extendedprice").alias("label"), "l_quantity"), ["l_quantity"])
     model = LinearRegression(solver="normal").fit(data)
     row = [(float(model.coefficients[0]), float(model.intercept))]
     line = t.spark.createDataFrame(row, "slope double, intercept double")
@@ -142,28 +140,28 @@ def m5(t):
 
 @query("m6_random_forest")
 def m6(t):
-    data = order_features(t)
+    data = materialise(order_features(t), "features")
     model = SC.train_forest(data, FEATURES, trees=20, depth=5)
     return SC.score(data, model, FEATURES).select("id", "label", "prediction")
 
 
 @query("m7_gradient_boosted_trees")
 def m7(t):
-    data = L.as_vectors(order_features(t), FEATURES)
+    data = L.training_table(order_features(t), FEATURES)
     model = GBTClassifier(maxIter=5, maxDepth=5, seed=7).fit(data)
     return model.transform(data).select("id", "label", "prediction")
 
 
 @query("m8_decision_tree_classifier")
 def m8(t):
-    data = L.as_vectors(order_features(t), FEATURES)
+    data = L.training_table(order_features(t), FEATURES)
     model = DecisionTreeClassifier(maxDepth=5, impurity="gini", seed=7).fit(data)
     return model.transform(data).select("id", "label", "prediction")
 
 
 @query("m9_decision_tree_regressor")
 def m9(t):
-    data = L.as_vectors(order_features(t), FEATURES[:-1]).withColumn("label", F.col("total"))
+    data = L.training_table(order_features(t), FEATURES[:-1]).withColumn("label", F.col("total"))
     model = DecisionTreeRegressor(maxDepth=5, impurity="variance", seed=7).fit(data)
     return model.transform(data).select("id", F.round("prediction", 2).alias("prediction"))
 
@@ -181,7 +179,7 @@ def m9(t):
     ),
 )
 def m10(t):
-    data = L.as_vectors(order_features(t), FEATURES)
+    data = L.training_table(order_features(t), FEATURES)
     model = NaiveBayes(smoothing=1.0, modelType="multinomial").fit(data)
     theta, prior = model.theta.toArray(), model.pi.toArray()
     rows = [
@@ -226,7 +224,7 @@ def m11(t):
 
 @query("m11_kmeans_solver")
 def m11_solver(t):
-    points = t.embeddings.select("vec_id", array_to_vector(V.as_doubles(F.col("embedding"))).alias("features"))
+    points = materialise(t.embeddings.select("vec_id", array_to_vector(V.as_doubles(F.col("embedding"))).alias("features")))
     model = KMeans(k=2, maxIter=20, seed=7).fit(points)
     return model.transform(points).select("vec_id", F.col("prediction").alias("cluster"))
 
@@ -234,6 +232,7 @@ def m11_solver(t):
 @query("m12_als")
 def m12(t):
     observed = ratings(t).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rate")
+    observed = materialise(observed, "ratings")
     als = ALS(rank=10, maxIter=20, regParam=0.01, userCol="user", itemCol="item", ratingCol="rate", seed=7)
     return als.fit(observed).transform(observed).select("user", "item", "rate", F.round("prediction", 3).alias("prediction"))
 
@@ -346,7 +345,7 @@ def j10(t):
 @query("m16_batch_predict")
 def m16(t):
     """Fit on one hash part, predict the other."""
-    data = order_features(t).withColumn("part", hash_part(F.col("id"), [7, 3]))
+    data = materialise(order_features(t), "features").withColumn("part", hash_part(F.col("id"), [7, 3]))
     model = SC.train_forest(data.filter("part = 0"), FEATURES, trees=5, depth=4)
     return SC.score(data.filter("part = 1"), model, FEATURES).select("id", "label", "prediction")
 
@@ -354,7 +353,7 @@ def m16(t):
 @query("m17_score_and_export")
 def m17(t):
     """Train on finished and open orders, score the pending ones, keep the predicted positives."""
-    rows = order_features(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id")
+    rows = materialise(order_features(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id"))
     train = rows.filter("o_orderstatus <> 'P'").select("id", "label", *FEATURES)
     population = rows.filter("o_orderstatus = 'P'").select("id", *FEATURES)
     path = scratch_path(t.spark, "chosen")
@@ -363,7 +362,7 @@ def m17(t):
 
 @query("m18_model_dump")
 def m18(t):
-    data = L.as_vectors(order_features(t), FEATURES)
+    data = L.training_table(order_features(t), FEATURES)
     model = DecisionTreeClassifier(maxDepth=4, seed=7).fit(data)
     return SC.describe_trees(model, FEATURES, t.spark)
 
@@ -372,7 +371,7 @@ def m18(t):
 def m19(t):
     """Index the label text, index features, train, and give the label text back."""
     rows = order_features(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id").drop("label")
-    data = L.as_vectors(rows, FEATURES, "raw")
+    data = L.training_table(rows, FEATURES, "raw")
     labels = StringIndexer(inputCol="o_orderstatus", outputCol="label").fit(data)
     stages = [
         labels,
@@ -387,7 +386,7 @@ def m19(t):
 def m20(t):
     """Term-hash and regularisation grid over two hash folds of the labelled documents."""
     texts = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    data = texts.withColumn("fold", hash_part(F.col("doc_id"), [1, 1]))
+    data = materialise(texts.withColumn("fold", hash_part(F.col("doc_id"), [1, 1])), "folds")
     words = Tokenizer(inputCol="text", outputCol="words")
     frequencies = HashingTF(inputCol="words", outputCol="features")
     regression = LogisticRegression(maxIter=5)
@@ -411,7 +410,7 @@ def m20(t):
 @query("m21_single_prediction")
 def m21(t):
     """One hand-built sparse vector under a model of the whole table."""
-    data = L.as_vectors(order_features(t), FEATURES)
+    data = L.training_table(order_features(t), FEATURES)
     model = GBTClassifier(maxIter=3, maxDepth=4, seed=7).fit(data)
     probe = t.spark.createDataFrame([(Vectors.sparse(len(FEATURES), [0, 5], [3.0, 250000.0]),)], ["features"])
     return model.transform(probe).select("prediction", F.round(vector_to_array("probability")[1], 6).alias("score"))
@@ -419,7 +418,7 @@ def m21(t):
 
 @query("k5_model_persistence", with_features("select count(*) as n, 0::bigint as differing from features"))
 def k5(t):
-    data = order_features(t)
+    data = materialise(order_features(t), "features")
     model = SC.train_forest(data, FEATURES, trees=5, depth=4)
     path = scratch_path(t.spark, "model")
     SC.save_model(model, path)

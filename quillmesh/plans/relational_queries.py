@@ -12,6 +12,7 @@ from quillmesh.operators.lookup import lookup_join
 from quillmesh.operators.ordering import consecutive_pairs, dense_index
 from quillmesh.plans.bindings import link_graph, with_graph
 from quillmesh.plans.registry import query
+from quillmesh.session import materialise
 
 
 @query(
@@ -45,7 +46,7 @@ def ratings(t):
         join guesses g on g."user" = r."user" and g.item = r.item""",
 )
 def j2(t):
-    observed = ratings(t)
+    observed = materialise(ratings(t), "ratings")
     means = observed.groupBy("item").agg(F.avg("rate").alias("guess"))
     guesses = observed.select("user", "item").join(means, "item")
     joined = observed.join(guesses, ["user", "item"])
@@ -190,7 +191,7 @@ def a11(t):
         select round(avg(pow(rate - mean, 2)), 4) as mean_squared_error from ratings join m on m.item = ratings.item""",
 )
 def a12(t):
-    observed = ratings(t)
+    observed = materialise(ratings(t), "ratings")
     means = observed.groupBy("item").agg(F.avg("rate").alias("guess"))
     error = Q.mean_squared_error(observed.join(means, "item"), "rate", "guess")
     return error.select(F.round("mean_squared_error", 4).alias("mean_squared_error"))

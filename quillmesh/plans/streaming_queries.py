@@ -79,9 +79,9 @@ def t5_decorate(t):
 @query("t6_score_stream")
 def t6(t):
     """A saved model scores rows as they arrive."""
-    data = order_features(t)
     path, model_path = scratch_path(t.spark, "rows"), scratch_path(t.spark, "model")
-    data.repartition(4).write.parquet(path)
+    order_features(t).repartition(4).write.parquet(path)
+    data = t.spark.read.parquet(path)
     SC.save_model(SC.train_forest(data, FEATURES, trees=5, depth=4), model_path)
     stream = ST.file_stream(t.spark, path, data.schema, "parquet", files_per_batch=2)
     scored = ST.score_stream(stream, SC.load_model(model_path), FEATURES)
