@@ -79,13 +79,14 @@ def consecutive_pairs(
     rows = df.select(key, *order, F.col(value).alias("current"), slice_of.alias(_SLICE))
     step = Window.partitionBy(key, _SLICE).orderBy(*order)
     inside = rows.withColumn("__lag", F.lag("current").over(step)).withColumn("__rank", F.row_number().over(step))
-    last = rows.groupBy(key, _SLICE).agg(F.max_by("current", F.struct(*order)).alias("__last"))
+    last = rows.groupBy(key, _SLICE).agg(F.max_by(F.struct("current"), F.struct(*order)).alias("__last"))
     carried = last.select(
         key,
         F.lead(_SLICE).over(Window.partitionBy(key).orderBy(_SLICE)).alias(_SLICE),
         F.col("__last").alias("__carried"),
     ).filter(F.col(_SLICE).isNotNull())
     joined = inside.join(carried, [key, _SLICE], "left")
-    previous = F.when(F.col("__rank") == 1, F.col("__carried")).otherwise(F.col("__lag"))
+    # the carried value sits in a struct, so a null value still counts as a previous row
+    previous = F.when(F.col("__rank") == 1, F.col("__carried.current")).otherwise(F.col("__lag"))
     has_previous = (F.col("__rank") > 1) | F.col("__carried").isNotNull()
     return joined.filter(has_previous).select(key, *order, previous.alias("previous"), "current")
