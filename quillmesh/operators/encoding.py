@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.operators.lookup import encode_from
 from quillmesh.operators.ordering import dense_index
 
 
@@ -39,7 +40,7 @@ def vocabulary_list(df: DataFrame, column: str, max_values: int = 1000) -> list[
     """The sorted vocabulary on the driver; refuses one wider than ``max_values``."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()
     if len(values) > max_values:
-        raise ValueError(f"{column} has over {max_values} values: use pyspark.ml OneHotEncoder (sparse) instead")
+        raise ValueError(f"{column} has over {max_values} values: use sparse_one_hot instead")
     return sorted(r[0] for r in values)
 
 
@@ -49,6 +50,15 @@ def one_hot(column: str, vocabulary: Sequence[str], prefix: str | None = None) -
     return [F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(f"{stem}_{v}") for v in vocabulary]
 
 
+def sparse_one_hot(df: DataFrame, column: str, dictionary: DataFrame, name: str) -> DataFrame:
+    """Add a map {code: 1.0} for vocabularies too wide for one column per value."""
+    codes = df.withColumn("__code", F.col(column))
+    coded = encode_from(codes, ["__code"], dictionary, "value", "code")
+    empty = F.create_map().cast("map<bigint,double>")
+    hot = F.when(F.col("__code").isNotNull(), F.create_map(F.col("__code"), F.lit(1.0))).otherwise(empty)
+    return coded.withColumn(name, hot).drop("__code")
+
+
 def numeric_mean(df: DataFrame, column: str) -> float | None:
     """Mean of the cells that hold a number."""
     return df.agg(F.avg(F.col(column).try_cast("double"))).first()[0]

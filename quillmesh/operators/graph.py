@@ -2,6 +2,11 @@
 
 ``vertices`` has a column ``id``; ``edges`` has ``src`` and ``dst``; all other
 columns are attributes.
+
+Wherever a join may meet a hub, its other side is a written table.  Both sides
+then come in through a plain shuffle, which is what lets AQE split the hub's
+partition; an aggregate used directly would keep its own partitioning and pin
+the hub to one task.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ class PropertyGraph:
         endpoints = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
         absent = endpoints.join(vertices.select("id"), "id", "left_anti")
         filled = absent.select("id", *[default[c].alias(c) for c in vertices.columns if c != "id"])
-        return cls(vertices.unionByName(filled), edges)
+        return cls(materialise(vertices.unionByName(filled), "vertices"), edges)
 
     def reverse(self) -> PropertyGraph:
         turned = [F.col("dst").alias("src"), F.col("src").alias("dst")]
@@ -51,12 +56,17 @@ class PropertyGraph:
         edges = self.edges.join(other.edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
         return PropertyGraph(vertices, edges)
 
-    def triplets(self) -> DataFrame:
-        """Every edge with the attributes of both ends as ``src_<a>`` and ``dst_<a>``."""
+    def triplets(self, ends: Sequence[str] = ("src", "dst")) -> DataFrame:
+        """Every edge with the attributes of its ends as ``src_<a>`` and ``dst_<a>``.
+
+        Name only the ends an expression uses: each costs a join.
+        """
         attributes = [c for c in self.vertices.columns if c != "id"]
-        source = self.vertices.select(F.col("id").alias("src"), *[F.col(c).alias(f"src_{c}") for c in attributes])
-        target = self.vertices.select(F.col("id").alias("dst"), *[F.col(c).alias(f"dst_{c}") for c in attributes])
-        return self.edges.join(source, "src").join(target, "dst")
+        joined = self.edges
+        for end in ends:
+            side = self.vertices.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in attributes])
+            joined = joined.join(side, end)
+        return joined
 
     def map_vertices(self, **columns: Column) -> PropertyGraph:
         return PropertyGraph(self.vertices.withColumns(columns), self.edges)
@@ -64,9 +74,9 @@ class PropertyGraph:
     def map_edges(self, **columns: Column) -> PropertyGraph:
         return PropertyGraph(self.vertices, self.edges.withColumns(columns))
 
-    def map_triplets(self, **columns: Column) -> PropertyGraph:
+    def map_triplets(self, ends: Sequence[str] = ("src", "dst"), **columns: Column) -> PropertyGraph:
         """Edge attributes from expressions over the triplet columns."""
-        triplets = self.triplets().withColumns(columns)
+        triplets = self.triplets(ends).withColumns(columns)
         kept = list(dict.fromkeys([*self.edges.columns, *columns]))
         return PropertyGraph(self.vertices, triplets.select(*kept))
 
@@ -77,14 +87,14 @@ class PropertyGraph:
         """Add the columns of ``table`` (keyed by ``id``) to the vertices, defaults where it has no row."""
         joined = self.vertices.join(table, "id", "left")
         filled = {c: F.coalesce(F.col(c), value) for c, value in default.items()}
-        return PropertyGraph(joined.withColumns(filled), self.edges)
+        return PropertyGraph(materialise(joined.withColumns(filled), "vertices"), self.edges)
 
     def join_vertices(self, messages: DataFrame, column: str, merged: Column) -> PropertyGraph:
         """Replace ``column`` by ``merged`` where a message row exists; other vertices keep their value."""
         names = [c for c in messages.columns if c != "id"]
         joined = self.vertices.join(messages.withColumn("__hit", F.lit(True)), "id", "left")
         updated = joined.withColumn(column, F.when(F.col("__hit"), merged).otherwise(F.col(column)))
-        return PropertyGraph(updated.drop("__hit", *names), self.edges)
+        return PropertyGraph(materialise(updated.drop("__hit", *names), "vertices"), self.edges)
 
     def aggregate_messages(
         self,
@@ -92,12 +102,13 @@ class PropertyGraph:
         to_dst: Column | None = None,
         to_src: Column | None = None,
         where: Column | None = None,
+        ends: Sequence[str] = ("src", "dst"),
     ) -> DataFrame:
         """Send an expression over the triplet columns along edges and merge per receiver.
 
         ``merge`` names each result column and the aggregate that makes it.
         """
-        triplets = self.triplets()
+        triplets = self.triplets(ends)
         if where is not None:
             triplets = triplets.filter(where)
         sent = []
@@ -273,7 +284,7 @@ def pagerank(
 ) -> DataFrame:
     """Ranks by passing rank changes above ``tolerance`` along out-edges; ranks are not normalised."""
     weights = graph.out_degrees().select(F.col("id").alias("src"), (1.0 / F.col("out_degree")).alias("weight"))
-    weighted = graph.edges.select("src", "dst").join(weights, "src")
+    weighted = graph.edges.select("src", "dst").join(materialise(weights, "weights"), "src")
     gain = (1.0 - reset) * F.coalesce(F.col("message"), F.lit(0.0))
     result = pregel(
         PropertyGraph(graph.vertices.select("id"), weighted),
@@ -353,9 +364,8 @@ def triangle_counts(graph: PropertyGraph) -> DataFrame:
     of its ends.
     """
     simple = materialise(canonical_edges(graph.edges), "simple")
-    degree = (
-        simple.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    )
+    ends = simple.select(F.explode(F.array("src", "dst")).alias("id"))
+    degree = materialise(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degree")
     low = degree.select(F.col("id").alias("src"), F.col("degree").alias("src_degree"))
     high = degree.select(F.col("id").alias("dst"), F.col("degree").alias("dst_degree"))
     ranked = simple.join(low, "src").join(high, "dst")
@@ -367,7 +377,7 @@ def triangle_counts(graph: PropertyGraph) -> DataFrame:
         ),
         "oriented",
     )
-    lists = oriented.groupBy("low").agg(F.collect_list("high").alias("above"))
+    lists = materialise(oriented.groupBy("low").agg(F.collect_list("high").alias("above")), "lists")
     of_low = lists.withColumnRenamed("above", "low_above")
     of_high = lists.select(F.col("low").alias("high"), F.col("above").alias("high_above"))
     closing = (

@@ -25,7 +25,11 @@ def _range_slices(df: DataFrame, order: Sequence[str], slices: int | None) -> Da
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "row_index", slices: int | None = None) -> DataFrame:
-    """Number the rows 0..n-1 in the order of ``order`` (unique keys make it deterministic)."""
+    """Number the rows 0..n-1 in the order of ``order``.
+
+    The keys together must be unique: that fixes the numbering, and it lets
+    range partitioning cut anywhere, which rows of equal keys would prevent.
+    """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     numbered = materialise(
         _range_slices(df, order, slices)
@@ -78,15 +82,20 @@ def consecutive_pairs(
     """
     rows = df.select(key, *order, F.col(value).alias("current"), slice_of.alias(_SLICE))
     step = Window.partitionBy(key, _SLICE).orderBy(*order)
-    inside = rows.withColumn("__lag", F.lag("current").over(step)).withColumn("__rank", F.row_number().over(step))
-    last = rows.groupBy(key, _SLICE).agg(F.max_by(F.struct("current"), F.struct(*order)).alias("__last"))
+    inside = rows.select(
+        "*",
+        F.lag("current").over(step).alias("__lag"),
+        F.row_number().over(step).alias("__rank"),
+        F.lead(F.lit(True)).over(step).isNull().alias("__final"),
+    )
+    # the carried value sits in a struct, so a null value still counts as a previous row
+    last = inside.filter("__final").select(key, _SLICE, F.struct("current").alias("__last"))
     carried = last.select(
         key,
         F.lead(_SLICE).over(Window.partitionBy(key).orderBy(_SLICE)).alias(_SLICE),
         F.col("__last").alias("__carried"),
     ).filter(F.col(_SLICE).isNotNull())
     joined = inside.join(carried, [key, _SLICE], "left")
-    # the carried value sits in a struct, so a null value still counts as a previous row
     previous = F.when(F.col("__rank") == 1, F.col("__carried.current")).otherwise(F.col("__lag"))
     has_previous = (F.col("__rank") > 1) | F.col("__carried").isNotNull()
     return joined.filter(has_previous).select(key, *order, previous.alias("previous"), "current")

@@ -174,14 +174,14 @@ TOKENS_SQL = r"""select doc_id, unnest(regexp_split_to_array(text, '[ \t\n\v\f\r
 
 @query(
     "p15_tokenise",
-    f"""select doc_id, count(*) as n_tokens, count(distinct token) as n_distinct, max(token) as last_token
+    f"""select doc_id, count(*) as n_tokens, count(distinct token) as n_distinct, max(length(token)) as longest
         from ({TOKENS_SQL}) where token <> '' group by doc_id""",
 )
 def p15(t):
     words = C.tokens(t.documents, "text", keep=["doc_id"])
     per_word = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     return per_word.groupBy("doc_id").agg(
-        F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.max("token").alias("last_token")
+        F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.max(F.length("token")).cast("bigint").alias("longest")
     )
 
 

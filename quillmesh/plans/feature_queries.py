@@ -61,6 +61,18 @@ def f4(t):
     return t.customer.select("c_custkey", "c_acctbal", *E.one_hot("c_mktsegment", vocabulary, "seg"))
 
 
+@query(
+    "f4_sparse_one_hot",
+    """with d as (select v, row_number() over (order by v) - 1 as code from (select distinct p_name as v from part))
+       select p_partkey, code as slot, 1.0::double as value from part join d on v = p_name""",
+)
+def f4_sparse(t):
+    """The form for wide vocabularies: one (slot, 1) entry per row."""
+    names = t.part.select("p_partkey", "p_name")
+    hot = E.sparse_one_hot(names, "p_name", E.category_index(names, "p_name"), "hot")
+    return hot.select("p_partkey", F.explode("hot").alias("slot", "value"))
+
+
 def balances_with_gaps(t):
     """Balances as text, NA where they are negative."""
     text = F.when(F.col("c_acctbal") < 0, "NA").otherwise(F.col("c_acctbal").cast("string"))

@@ -66,7 +66,7 @@ def g5(t):
 def g6(t):
     g = link_graph(t)
     degrees = g.outer_join_vertices(g.out_degrees(), {"out_degree": F.lit(0)})
-    return degrees.map_triplets(weight=F.round(1.0 / F.col("src_out_degree"), 6)).edges.select("src", "dst", "weight")
+    return degrees.map_triplets(["src"], weight=F.round(1.0 / F.col("src_out_degree"), 6)).edges.select("src", "dst", "weight")
 
 
 @query(
@@ -91,7 +91,7 @@ def g7(t):
     return (
         link_graph(t)
         .aggregate_messages(
-            {"n": F.count, "total": F.sum}, to_dst=F.col("src_age"), to_src=F.col("src_age")
+            {"n": F.count, "total": F.sum}, to_dst=F.col("src_age"), to_src=F.col("src_age"), ends=["src"]
         )
         .select("id", "n", F.round("total", 2).alias("total"))
     )

@@ -68,14 +68,14 @@ def g20(t):
 
 @query(
     "g20_edge_fact_profile",
-    with_graph(fact_sql(4) + """select id, count(*) as facts, min(fact) as first_fact, max(fact) as last_fact
+    with_graph(fact_sql(4) + """select id, count(*) as facts, sum(level)::bigint as level_sum, max(level) as farthest
         from reached group by id"""),
 )
 def g20_profile(t):
     return (
         R.edge_facts(fact_graph(t), 4)
         .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("facts"), F.min("fact").alias("first_fact"), F.max("fact").alias("last_fact"))
+        .agg(F.count(F.lit(1)).alias("facts"), F.sum("level").alias("level_sum"), F.max("level").alias("farthest"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.operators import scoring as SC
-from quillmesh.plans.bindings import FEATURES, order_features
+from quillmesh.plans.bindings import FEATURES, order_features, with_features
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational_queries import WORDS_SQL
 from quillmesh.session import scratch_path
@@ -76,16 +76,20 @@ def t5_decorate(t):
     return ST.to_table(ST.decorate(ST.file_stream(t.spark, line_folder(t, t.nation, ["n_name"], files=2)))).select("value")
 
 
-@query("t6_score_stream")
+@query("t6_score_stream", with_features("select count(*) as n, 0::bigint as differing from features"))
 def t6(t):
-    """A saved model scores rows as they arrive."""
+    """A saved model scores rows as they arrive; every prediction must be the one it gives in batch."""
     path, model_path = scratch_path(t.spark, "rows"), scratch_path(t.spark, "model")
     order_features(t).repartition(4).write.parquet(path)
     data = t.spark.read.parquet(path)
     SC.save_model(SC.train_forest(data, FEATURES, trees=5, depth=4), model_path)
+    model = SC.load_model(model_path)
     stream = ST.file_stream(t.spark, path, data.schema, "parquet", files_per_batch=2)
-    scored = ST.score_stream(stream, SC.load_model(model_path), FEATURES)
-    return ST.to_table(scored.select("id", "prediction")).select("id", "prediction")
+    arrived = ST.to_table(ST.score_stream(stream, model, FEATURES).select("id", "prediction"))
+    batch = SC.score(data, model, FEATURES).select("id", F.col("prediction").alias("expected"))
+    return arrived.join(batch, "id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") != F.col("expected")).alias("differing")
+    )
 
 
 @query(
