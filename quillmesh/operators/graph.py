@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators.lookup import fits_broadcast
-from quillmesh.session import materialise
+from quillmesh.session import materialise, pin
 
 # Out-edges of one vertex that may meet in one join key before they are split.
 EDGE_CHUNK_ROWS = 1_000_000
@@ -165,9 +165,14 @@ class EdgeIndex:
     meet it are repeated once per chunk, so no key holds more than about
     ``chunk_rows`` edges.  The list of such vertices has at most
     |edges| / chunk_rows rows.
+
+    ``pinned`` keeps the edges partitioned by the join key, for loops that join
+    them every round with one state row per vertex: then only the messages are
+    shuffled.  Loops whose own rows may pile up on one vertex leave it off, so
+    that AQE can split either side.
     """
 
-    def __init__(self, edges: DataFrame, chunk_rows: int = EDGE_CHUNK_ROWS):
+    def __init__(self, edges: DataFrame, chunk_rows: int = EDGE_CHUNK_ROWS, pinned: bool = False):
         stored = materialise(edges, "edges")
         hubs = (
             stored.groupBy("src")
@@ -187,6 +192,8 @@ class EdgeIndex:
                 .withColumn("chunk", F.coalesce(spread, F.lit(0)).cast("int"))
                 .drop("chunks")
             )
+        if pinned:
+            self.edges = pin(self.edges, *(["src"] if self.hubs is None else ["src", "chunk"]))
 
     def _hub_side(self, key: str) -> DataFrame:
         side = self.hubs.withColumnRenamed("src", key)
@@ -211,7 +218,7 @@ def pregel(
     changed: Column,
     send_if: Column | None = None,
     max_rounds: int = 1000,
-    cut_every: int = 5,
+    cut_every: int = 4,
     chunk_rows: int = EDGE_CHUNK_ROWS,
 ) -> DataFrame:
     """Synchronous vertex rounds until no vertex is ``changed`` (or ``max_rounds`` passed).
@@ -231,7 +238,7 @@ def pregel(
     attributes = [c for c in graph.edges.columns if c not in ("src", "dst")]
     own = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("own"))
     edges = graph.edges.select("src", "dst", F.lit(False).alias("own"), *attributes)
-    index = EdgeIndex(edges.unionByName(own, allowMissingColumns=True), chunk_rows)
+    index = EdgeIndex(edges.unionByName(own, allowMissingColumns=True), chunk_rows, pinned=True)
     sending = ~F.col("own") if send_if is None else ~F.col("own") & send_if
     state = materialise(state, "state")
     done = 0
@@ -279,7 +286,7 @@ def pagerank(
     tolerance: float = 0.001,
     reset: float = 0.15,
     max_rounds: int = 1000,
-    cut_every: int = 6,
+    cut_every: int = 4,
     **options,
 ) -> DataFrame:
     """Ranks by passing rank changes above ``tolerance`` along out-edges; ranks are not normalised."""

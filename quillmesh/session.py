@@ -74,3 +74,23 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition and sort ``df`` by ``keys`` once, and checkpoint it that way.
+
+    Later joins on the keys neither shuffle nor sort this side again.  The
+    checkpoint keeps its partitioning only when AQE is off while it is written.
+    No key may be hot, since such a join cannot be split any more.
+    """
+    spark = df.sparkSession
+    folder = scratch_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
