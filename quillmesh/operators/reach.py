@@ -82,16 +82,22 @@ def edge_facts(
     fact: str = "fact",
     direction: str = "out",
     chunk_rows: int = EDGE_CHUNK_ROWS,
+    reached: DataFrame | None = None,
 ) -> DataFrame:
     """(id, fact, level): facts of all edges on walks of at most ``rounds`` edges.
 
     An edge is on such a walk exactly when its near end lies within
     ``rounds - 1`` hops; level is that end's distance + 2.  Reach pairs are
     unique, so only facts that occur under several near ends can meet twice;
-    where there are none the last, widest shuffle is left out.
+    where there are none the last, widest shuffle is left out.  ``reached``
+    spares the search when a table of ``reach`` over at least that many hops
+    exists.
     """
     near = "src" if direction == "out" else "dst"
-    ends = reach(graph, rounds - 1, direction, chunk_rows)
+    if reached is None:
+        ends = reach(graph, rounds - 1, direction, chunk_rows)
+    else:
+        ends = reached.filter(F.col("level") <= rounds)
     index = EdgeIndex(graph.edges.select(F.col(near).alias("src"), F.col(fact).alias("fact")).distinct(), chunk_rows)
     met = index.follow(ends, "member").select("id", "fact", (F.col("level") + 1).alias("level"))
     shared = index.stored.groupBy("fact").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -102,8 +108,10 @@ def edge_facts(
 
 def members_and_facts(graph: PropertyGraph, rounds: int, direction: str = "out", fact: str = "fact") -> DataFrame:
     """Vertex members and edge facts in one level map: (id, member text, level)."""
-    members = reach(graph, rounds, direction).select("id", F.col("member").cast("string").alias("member"), "level")
-    facts = edge_facts(graph, rounds, fact, direction).select("id", F.col("fact").alias("member"), "level")
+    reached = reach(graph, rounds, direction)
+    members = reached.select("id", F.col("member").cast("string").alias("member"), "level")
+    facts = edge_facts(graph, rounds, fact, direction, reached=reached)
+    facts = facts.select("id", F.col("fact").alias("member"), "level")
     return merge_levels(members, facts)
 
 

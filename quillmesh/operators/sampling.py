@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,19 +83,26 @@ def undersample_by_key(
     return df.filter(kept)
 
 
+# Draws made in one pass over the table; more would widen the aggregate's plan without end.
+DRAWS_PER_PASS = 64
+
+
 def seeded_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 42) -> DataFrame:
     """One row per draw 1..``draws``, each an independent seeded choice over all rows: (draw, key, columns).
 
     Draw ``i`` takes the row whose key has the least hash under seed + i.
-    Every task keeps one candidate per draw, so the whole is one aggregate
-    with ``draws`` small buffers.
+    Every task keeps one candidate per draw, so a pass is one aggregate
+    without a shuffle of rows.
     """
     row = F.struct(key, *columns)
-    least = [
-        F.min_by(row, F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed + i)))), F.col(key)))
-        for i in range(1, draws + 1)
-    ]
-    chosen = df.agg(F.array(*least).alias("rows"))
-    return chosen.select(F.posexplode("rows").alias("draw", "row")).select(
-        (F.col("draw") + 1).alias("draw"), "row.*"
-    )
+
+    def rank(i: int) -> Column:
+        return F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed + i)))), F.col(key))
+
+    passes = []
+    for first in range(1, draws + 1, DRAWS_PER_PASS):
+        numbers = range(first, min(first + DRAWS_PER_PASS, draws + 1))
+        chosen = df.agg(F.array(*[F.min_by(row, rank(i)) for i in numbers]).alias("rows"))
+        placed = chosen.select(F.posexplode("rows").alias("place", "row")).filter("row is not null")
+        passes.append(placed.select((F.col("place") + first).alias("draw"), "row.*"))
+    return reduce(DataFrame.unionByName, passes)

@@ -125,6 +125,20 @@ def m4(t):
     return SC.probability_of(model.transform(data)).select("id", "label", "score", "prediction")
 
 
+@query(
+    "m4_logistic_optimality",
+    " union all ".join(f"select '{c}' as feature, 0.0::double as gradient" for c in SCALED),
+)
+def m4_optimality(t):
+    """At the solution the mean gradient of every weight vanishes."""
+    data = L.training_table(scaled_features(t), SCALED)
+    model = LogisticRegression(maxIter=100, tol=1e-9).fit(data)
+    scored = model.transform(data).withColumn("gap", vector_to_array("probability")[1] - F.col("label"))
+    means = scored.agg(*[F.abs(F.round(F.avg(F.col("gap") * F.col(c)), 4)).alias(c) for c in SCALED])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("gradient")) for c in SCALED])
+    return means.select(F.inline(cells))
+
+
 @query(
     "m5_linear_regression",
     """select round(regr_slope(l_extendedprice, l_quantity), 3) as slope,
@@ -229,6 +243,17 @@ def m11_solver(t):
     return model.transform(points).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+@query("m11_kmeans_assignment", "select count(*) as n, 0::bigint as misplaced from embeddings")
+def m11_assignment(t):
+    """Every vector sits with the nearest centre the solver found."""
+    points = t.embeddings.select(V.as_doubles(F.col("embedding")).alias("x"))
+    points = materialise(points.withColumn("features", array_to_vector("x")))
+    model = KMeans(k=2, maxIter=20, seed=7).fit(points)
+    nearest = L.nearest_centre("x", [c.tolist() for c in model.clusterCenters()])["cluster"]
+    placed = model.transform(points)
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") != nearest).alias("misplaced"))
+
+
 @query("m12_als")
 def m12(t):
     observed = ratings(t).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rate")

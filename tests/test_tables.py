@@ -172,3 +172,11 @@ def test_delimited_reader_keeps_empty_tail(spark):
     lines(spark, "1,,", "2,x,").write.text(path)
     back = RD.read_delimited(spark, path, "a int, b string, c string")
     assert sorted(tuple(r) for r in back.collect()) == [(1, None, None), (2, "x", None)]
+
+
+def test_draws_beyond_one_pass_and_on_an_empty_table(spark):
+    df = spark.range(40)
+    many = {r["draw"]: r["id"] for r in B.seeded_draws(df, "id", [], 70).collect()}
+    few = {r["draw"]: r["id"] for r in B.seeded_draws(df, "id", [], 5).collect()}
+    assert sorted(many) == list(range(1, 71)) and few == {i: many[i] for i in range(1, 6)}
+    assert B.seeded_draws(df.limit(0), "id", [], 3).count() == 0
