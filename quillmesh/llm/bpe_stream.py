@@ -23,13 +23,12 @@ from __future__ import annotations
 import codecs
 import json
 import re
-import unicodedata
+from array import array
 from bisect import bisect_left
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +40,14 @@ BLOCK = 1 << 15  # characters normalised at once
 CACHE_WORDS = 400_000
 CACHED_LENGTH = 48
 DECODE_IDS = 1 << 14
+NO_MERGE, ID_MASK = 1 << 62, (1 << 32) - 1
 
-# Below this code point NFC changes nothing and Unicode versions agree on letters
-# and numbers; blocks with later characters take the tokenizer file's own rules.
-SIMPLE = re.compile("[^\u0000-˿]")
-WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-PIECES = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\t-\r \x85\xa0\\p{L}\\p{N}]+")
+# Below U+0300 NFC changes nothing and Unicode versions agree on letters, numbers
+# and blanks (but for the separators x1C to x1F); blocks with other characters
+# take the tokenizer file's own rules.
+SIMPLE = re.compile("[^\x00-\x1b -\u02ff]")
+_NUMBER = "\\d²³¹¼½¾"
+PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[^\\W_{_NUMBER}]+|[{_NUMBER}]|(?:[^\\w\\s]|_)+")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -57,7 +58,7 @@ def byte_symbols() -> dict[int, str]:
 
 
 class MergeList:
-    """Vocabulary and merges as integers: ``ranks[(left << 32) | right] = (rank, merged id)``."""
+    """Vocabulary and merges as integers: ``ranks[left << 32 | right] = rank << 32 | merged id``."""
 
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text())
@@ -65,13 +66,13 @@ class MergeList:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.ranks: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
         self.parts: dict[int, list[tuple[int, int, int]]] = {}  # merged id -> (rank, left, right)
         self.rules: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, c = self.ids[left], self.ids[right], self.ids[left + right]
-            self.ranks.setdefault(a << 32 | b, (rank, c))
+            self.ranks.setdefault(a << 32 | b, rank << 32 | c)
             self.parts.setdefault(c, []).append((rank, a, b))
             self.rules.append((a, b, c))
         symbols = byte_symbols()
@@ -80,6 +81,7 @@ class MergeList:
         self.sizes = {i: len(t.removesuffix(self.suffix)) or len(t) for t, i in self.ids.items()}
         names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.pieces = [n.encode() for n in self.names]
         back = {s: b for b, s in symbols.items()}
         end = set(self.special.values())
         self.raw = [
@@ -117,20 +119,16 @@ class MergeList:
 
     def merge(self, tokens: list[int]) -> list[int]:
         """Merge the pair of the least rank, leftmost first, until none is left."""
-        ranks = self.ranks
-        none = (1 << 60, -1)
-        found = [ranks.get(a << 32 | b, none) for a, b in zip(tokens, tokens[1:])]
-        while found:
-            best = min(found)
-            if best[1] < 0:
-                break
+        get = self.ranks.get
+        found = [get(a << 32 | b, NO_MERGE) for a, b in zip(tokens, tokens[1:])]
+        while found and (best := min(found)) != NO_MERGE:
             i = found.index(best)
-            tokens[i : i + 2] = [best[1]]
+            tokens[i : i + 2] = [best & ID_MASK]
             del found[i]
             if i < len(found):
-                found[i] = ranks.get(tokens[i] << 32 | tokens[i + 1], none)
+                found[i] = get(tokens[i] << 32 | tokens[i + 1], NO_MERGE)
             if i:
-                found[i - 1] = ranks.get(tokens[i - 1] << 32 | tokens[i], none)
+                found[i - 1] = get(tokens[i - 1] << 32 | tokens[i], NO_MERGE)
         return tokens
 
     def word(self, data: bytes) -> list[int]:
@@ -166,24 +164,30 @@ def _file_rules(path: str):
 
 
 class _Words(dict):
-    """Word -> its ids as little-endian bytes; forgets everything when it is full."""
+    """Blank-delimited word -> ids of its pieces as little-endian bytes.
+
+    Bounded: a full table becomes the older generation, from which words in use move back.
+    """
 
     def __init__(self, merges: MergeList):
         super().__init__()
-        self.merges = merges
+        self.merges, self.older = merges, {}
         self.bytes_of = {s: b for b, s in byte_symbols().items()}
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        ids = self._pack(data)
+        ids = self.older.get(word)
+        if ids is None:
+            known, pieces = self.get, PIECES.findall(word)
+            ids = b"".join([known(piece) or self.pack(piece.encode()) for piece in pieces])
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
-    def _pack(self, data: bytes) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.merges.word(data))
+    def pack(self, data: bytes) -> bytes:
+        return array("I", self.merges.word(data)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -212,13 +216,12 @@ def _blocks(text: str):
 def _encode_plain(text: str, path: str, words: _Words):
     for block in _blocks(text):
         if SIMPLE.search(block) is None:
-            low = WHITE.sub(" ", block).lower()
-            yield b"".join(map(words.__getitem__, PIECES.findall(low)))
+            yield b"".join(map(words.__getitem__, block.lower().split()))
         else:
             normal, cut = _file_rules(path)
             back = words.bytes_of
             for piece, _ in cut.pre_tokenize_str(normal.normalize_str(block)):
-                yield words._pack(bytes(map(back.__getitem__, piece)))
+                yield words.pack(bytes(map(back.__getitem__, piece)))
 
 
 def encode_text(text: str | None, path: str, words: _Words | None = None) -> bytes:
@@ -247,7 +250,7 @@ class Decoder:
 
     def __init__(self, merges: MergeList, form: str = "pieces"):
         self.form = form
-        self.table = [n.encode() for n in merges.names] if form == "pieces" else merges.raw
+        self.table = merges.pieces if form == "pieces" else merges.raw
         self.gap = b" " if form == "pieces" else b""
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True

@@ -138,6 +138,41 @@ def points(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _POINT, rows)
 
 
+def _shared_cells(in_cells: DataFrame) -> DataFrame:
+    """``cell, node, lead`` for cells with several nodes; ``lead`` is the least node, or that of a piece of the cell.
+
+    Rows are range partitioned on (cell, node), which also cuts a hot cell into
+    pieces, and each batch finds its runs of one cell.  The runs at the ends of
+    a batch may go on in the next one: their leads are tied to the least of them.
+    """
+
+    def rows(batch: pa.RecordBatch):
+        cell, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(cell):
+            return
+        start = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
+        length = np.diff(np.append(start, len(cell)))
+        edge = np.zeros(len(start), dtype=bool)
+        edge[[0, -1]] = True
+        keep = np.repeat(edge | (length > 1), length)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(cell[keep]),
+                pa.array(node[keep]),
+                pa.array(np.repeat(node[start], length)[keep]),
+                pa.array(np.repeat(edge, length)[keep]),
+            ],
+            names=["cell", "node", "lead", "edge"],
+        )
+
+    ordered = in_cells.select("cell", "node").repartitionByRange("cell", "node").sortWithinPartitions("cell", "node")
+    runs = materialise(map_batches(ordered, "cell bigint, node bigint, lead bigint, edge boolean", rows), "runs")
+    pieces = runs.filter("edge").select("cell", "lead").distinct()
+    least = pieces.groupBy("cell").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ties = pieces.join(least, "cell").select("cell", F.col("lead").alias("node"), F.col("first").alias("lead"))
+    return runs.select("cell", "node", "lead").union(ties.filter("node <> lead"))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, n_shingles, shingles`` of the wanted nodes, read from the documents again."""
 
@@ -227,26 +262,14 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     linked = pts.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(linked.groupBy("key", "key2").agg(F.min("doc_id").alias("node")), "classes")
 
-    # Cells with more than one set.  Copies share their key, so they never open a cell.
-    in_cells = linked.select("key", F.explode("cells").alias("cell"))
-    spans = in_cells.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = spans.filter("low <> high").select("cell", "low")
-    members = in_cells.join(shared, "cell").select("cell", "key", "low").distinct()
-    by_key = classes.select("key", "node")
-    members = materialise(
-        members.join(by_key, "key").join(by_key.select(F.col("key").alias("low"), F.col("node").alias("lead")), "low")
-        .select("cell", "node", "lead"),
-        "members",
-    )
-    used = members.select("node").distinct()
-    nodes = materialise(
-        linked.join(classes, ["key", "key2"])
-        .filter("node = doc_id")
-        .join(used, "node", "left_semi")
-        .select("node", "key", "key2", "n_shingles", "point")
-        .dropDuplicates(["node"]),
-        "nodes",
-    )
+    # One point per set: copies share its cells, so only the least id enters them.
+    chosen = linked.join(classes, ["key", "key2"]).filter("node = doc_id").drop("doc_id")
+    chosen = chosen.select("node", "key", "key2", "n_shingles", "point", "cells")
+    members = materialise(_shared_cells(chosen.select("node", F.explode("cells").alias("cell"))), "members")
+    used = members.filter("node <> lead").select(F.explode(F.array("node", "lead")).alias("node")).distinct()
+    nodes = linked.join(used.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    nodes = nodes.select(F.col("doc_id").alias("node"), "key", "key2", "n_shingles", "point")
+    nodes = materialise(nodes.join(classes, ["node", "key", "key2"], "left_semi").dropDuplicates(["node"]), "nodes")
     sets = materialise(_sets_of(docs, nodes.select("node", "key", "key2"), size), "sets")
 
     # Round 1: every node with the least leader of its cells.
@@ -259,7 +282,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     links = links.union(materialise(_verified(second, nodes, sets, percent), "links"))
     found = contract(links)
     # Round 3: nodes that stay apart within a cell, bound by bound down the tree.
-    labelled = _relabelled(members.select("cell", "node"), found, ("node",))
+    labelled = _relabelled(members.select("cell", "node").distinct(), found, ("node",))
     mixed = labelled.groupBy("cell").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high")).filter("low <> high")
     left = materialise(
         labelled.join(mixed.select("cell"), "cell").join(nodes.select("node", "n_shingles", "point"), "node"), "open-cells"
