@@ -12,15 +12,16 @@ The tree has three levels, all of them keys of Spark shuffles:
   from the size band.  The groups are dealt into more than D blocks, so at
   least one block has equal counts on both sides; a cell is one block with
   one vector of counts over 256 fine groups.  Only points that share a cell
-  can be linked, and each point sits in about one cell per ten shingles.
-* Nodes.  Points of a cell that are already known to be connected form one node,
-  bounded by its largest count per coordinate.
-* Points.  Compared only with points of other nodes of the cell.
-
-Components need no pair inside a node: each point is first verified against
-the least point of its cells, the verified links are contracted, and only
-nodes that stay apart within a cell are compared further.  Equal sets are one
-point throughout, so copies cost nothing.
+  can be linked, and each point sits in about one cell per six shingles.
+* Leaves.  A cell is cut into leaves of a bounded number of points.  Two leaves
+  meet only if the bound of their boxes, the largest count per coordinate of
+  each, allows a link.
+* Points.  Of two leaves that meet, the points are compared by their bounds.
+
+Components need no pair inside a connected group: each point is first verified against
+the leading point of its cells, the verified links are contracted, and only
+cells whose points stay apart are compared further, leaf by leaf.  Equal sets are one
+point throughout, so copies cost nothing, and cells of the same points are one.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import U64, blank_words, list_array, map_batches, mix, shingle_hashes, signed, word_hashes
 from quillmesh.session import materialise
 
-DIMS = 64  # coordinates of a point
+DIMS = 256  # coordinates of a point
 FINE = 256  # fine groups per block
+LEAF = 256  # points per leaf
 
 _POINT = (
     "doc_id bigint, n_shingles bigint, key bigint, key2 bigint, point array<smallint>, cells array<bigint>"
@@ -173,6 +175,18 @@ def _shared_cells(in_cells: DataFrame) -> DataFrame:
     return runs.select("cell", "node", "lead").union(ties.filter("node <> lead"))
 
 
+def _different_cells(members: DataFrame) -> DataFrame:
+    """One cell for all cells with the same nodes (told apart by 128 bits and the count), without single nodes."""
+    inside = members.select("cell", "node").distinct()
+    marks = inside.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    )
+    kept = marks.filter("n > 1").groupBy("n", "x", "y").agg(F.min("cell").alias("cell"))
+    return members.join(kept.select("cell", F.col("n").alias("size")), "cell")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, n_shingles, shingles`` of the wanted nodes, read from the documents again."""
 
@@ -266,6 +280,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     chosen = linked.join(classes, ["key", "key2"]).filter("node = doc_id").drop("doc_id")
     chosen = chosen.select("node", "key", "key2", "n_shingles", "point", "cells")
     members = materialise(_shared_cells(chosen.select("node", F.explode("cells").alias("cell"))), "members")
+    members = materialise(_different_cells(members), "cells")
     used = members.filter("node <> lead").select(F.explode(F.array("node", "lead")).alias("node")).distinct()
     nodes = linked.join(used.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     nodes = nodes.select(F.col("doc_id").alias("node"), "key", "key2", "n_shingles", "point")
@@ -281,13 +296,16 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     second = apart.filter("c_node <> c_lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     links = links.union(materialise(_verified(second, nodes, sets, percent), "links"))
     found = contract(links)
-    # Round 3: nodes that stay apart within a cell, bound by bound down the tree.
-    labelled = _relabelled(members.select("cell", "node").distinct(), found, ("node",))
+    # Round 3: cells whose nodes stay apart, bound by bound down the tree; of two groups the closest pair first.
+    labelled = _relabelled(members.select("cell", "node", "size").distinct(), found, ("node",))
     mixed = labelled.groupBy("cell").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high")).filter("low <> high")
-    left = materialise(
-        labelled.join(mixed.select("cell"), "cell").join(nodes.select("node", "n_shingles", "point"), "node"), "open-cells"
-    )
-    links = links.union(materialise(_verified(_descend(left, percent), nodes, sets, percent), "links"))
+    left = labelled.join(mixed.select("cell"), "cell").join(nodes.select("node", "n_shingles", "point"), "node")
+    near = materialise(_descend(materialise(left, "open-cells"), percent), "near")
+    closest = near.groupBy("c_a", "c_b").agg(F.max(F.struct("slack", "a", "b")).alias("best")).select("best.a", "best.b")
+    links = links.union(materialise(_verified(closest, nodes, sets, percent), "links"))
+    found = contract(links)
+    rest = _relabelled(near.select("a", "b"), found, ("a", "b")).filter("c_a <> c_b").select("a", "b")
+    links = links.union(materialise(_verified(rest, nodes, sets, percent), "links"))
     found = contract(links)
 
     roots = classes.join(found, "node", "left").select(
@@ -313,32 +331,78 @@ def _relabelled(df: DataFrame, found: DataFrame, columns: tuple[str, ...]) -> Da
 
 
 def _descend(left: DataFrame, percent: int) -> DataFrame:
-    """Pairs of points in different nodes of one cell, as far as the bounds let them through."""
-    bounds = left.groupBy("cell", "c_node").agg(
+    """``a, b, c_a, c_b, slack``: pairs of points from different groups of one cell that the bounds let through.
+
+    Cells of up to ``LEAF`` points are one leaf.  Larger ones are cut by hash
+    into leaves, and every pair of leaves whose boxes allow a link meets in one
+    group of at most two leaves; nothing is emitted for pairs the bounds exclude.
+    """
+    cut = left.withColumn("leaves", F.ceil(F.col("size") / F.lit(LEAF)).cast("int")).withColumn(
+        "leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")
+    )
+    small, large = cut.filter("leaves = 1"), cut.filter("leaves > 1")
+    boxes = large.groupBy("cell", "leaf").agg(
         F.min("n_shingles").alias("n_min"),
         F.max("n_shingles").alias("n_max"),
         F.array(*[F.max(F.get("point", F.lit(k))) for k in range(DIMS)]).alias("box"),
     )
-    a = bounds.select("cell", *[F.col(c).alias(f"{c}_a") for c in ("c_node", "n_min", "n_max", "box")])
-    b = bounds.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("c_node", "n_min", "n_max", "box")])
-    near = (
-        a.join(b, "cell")
-        .filter("c_node_a < c_node_b")
-        .filter((100 * F.col("n_max_a") >= percent * F.col("n_min_b")) & (100 * F.col("n_max_b") >= percent * F.col("n_min_a")))
-        .filter(overlap_bound(F.col("box_a"), F.col("box_b")) >= _needed(F.col("n_min_a"), F.col("n_min_b"), percent))
-        .select("cell", "c_node_a", "c_node_b")
-    )
-    side = lambda s: left.select(
-        "cell", F.col("c_node").alias(f"c_node_{s}"), F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("point").alias(f"p_{s}")
+    boxes = materialise(boxes, "boxes")
+    other = boxes.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("leaf", "n_min", "n_max", "box")])
+    meet = (
+        boxes.join(other, "cell")
+        .filter("leaf <= leaf_b")
+        .filter((100 * F.col("n_max") >= percent * F.col("n_min_b")) & (100 * F.col("n_max_b") >= percent * F.col("n_min")))
+        .filter(overlap_bound(F.col("box"), F.col("box_b")) >= _needed(F.col("n_min"), F.col("n_min_b"), percent))
+        .select("cell", F.col("leaf").alias("i"), F.col("leaf_b").alias("j"))
     )
-    return (
-        near.join(side("a"), ["cell", "c_node_a"])
-        .join(side("b"), ["cell", "c_node_b"])
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .filter(overlap_bound(F.col("p_a"), F.col("p_b")) >= _needed(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b")
-        .distinct()
+    ends = meet.select("cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("leaf"))
+    columns = ["cell", "i", "j", "leaf", "node", "c_node", "n_shingles", "point"]
+    placed = small.select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns[3:]).union(
+        large.join(ends, ["cell", "leaf"]).select(*columns)
     )
+    groups = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    def near(table: pa.Table) -> pa.RecordBatch:
+        """Pairs of one group, all of whose rows are in ``table``."""
+        leaf, node, comp, n = (table.column(c).to_numpy() for c in ("leaf", "node", "c_node", "n_shingles"))
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        point = table.column("point").combine_chunks().flatten().to_numpy().reshape(len(node), DIMS).astype(np.int32)
+        point[point == 32767] = 1 << 22  # a full coordinate says nothing
+        out = []
+        for k in range(len(node) - 1):
+            rest = slice(k + 1, len(node))
+            need = -((-percent * (n[k] + n[rest])) // (100 + percent))
+            may = (comp[rest] != comp[k]) & (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest]))
+            if first != second:
+                may &= leaf[rest] != leaf[k]
+            at = np.flatnonzero(may)
+            slack = np.minimum(point[k], point[rest][at]).sum(axis=1) - need[at]
+            at, slack = at[slack >= 0], slack[slack >= 0]
+            if len(at):
+                other = at + k + 1
+                swap = comp[other] < comp[k]
+                mine, theirs = np.full(len(at), node[k]), node[other]
+                c_mine, c_theirs = np.full(len(at), comp[k]), comp[other]
+                pick = lambda x, y: np.where(swap, y, x)
+                out.append((pick(mine, theirs), pick(theirs, mine), pick(c_mine, c_theirs), pick(c_theirs, c_mine), slack))
+        parts = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["a", "b", "c_a", "c_b", "slack"])
+
+    def rows(batches):
+        held = None  # rows of the group that the next batch may go on with
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("cell", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), table.num_rows]
+            for start, stop in zip(cuts[:-2], cuts[1:-1]):
+                yield near(table.slice(start, stop - start))
+            held = table.slice(cuts[-2])
+        if held is not None and held.num_rows:
+            yield near(held)
+
+    pairs = groups.mapInArrow(rows, "a bigint, b bigint, c_a bigint, c_b bigint, slack bigint")
+    return pairs.groupBy("a", "b", "c_a", "c_b").agg(F.max("slack").alias("slack"))
 
 
 def one_per_component(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
