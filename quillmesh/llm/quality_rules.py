@@ -93,21 +93,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     trimmed = F.btrim(body, F.lit(BLANKS))
     step = docs.select(
         *own,
+        body.alias("__body"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)).alias("__words"),
         F.filter(F.split(body, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "").alias("__lines"),
     )
     n = F.size("__words")
-    return step.select(
-        *own,
+    measured = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("__body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__words"), n).alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
-        F.regexp_count(body, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace(body, "\\P{L}+", "")).cast("long").alias("n_letters"),
+        F.regexp_count("__body", F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("__body", "\\P{L}+", "")).cast("long").alias("n_letters"),
     )
+    # inline of one row keeps a later filter on the measurements from being pushed into them
+    return step.select(*own, F.inline(F.array(measured)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
