@@ -72,8 +72,8 @@ def impute_mean(df: DataFrame, column: str) -> DataFrame:
 def value_probabilities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, probability) of every value of every column."""
     counts = long_cells(df, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    rows = df.count()
-    return counts.select("feature", "value", (F.col("n") / F.lit(rows)).alias("probability"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("rows"))  # one row per column
+    return counts.join(F.broadcast(totals), "feature").select("feature", "value", (F.col("n") / F.col("rows")).alias("probability"))
 
 
 def arities(df: DataFrame, columns: Sequence[str]) -> DataFrame:

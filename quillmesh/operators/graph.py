@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.operators.lookup import fits_broadcast
 from quillmesh.session import materialise, pin
 
 # Out-edges of one vertex that may meet in one join key before they are split.
@@ -197,7 +196,7 @@ class EdgeIndex:
 
     def _hub_side(self, key: str) -> DataFrame:
         side = self.hubs.withColumnRenamed("src", key)
-        return F.broadcast(side) if fits_broadcast(side) else side
+        return side
 
     def follow(self, rows: DataFrame, key: str) -> DataFrame:
         """Join ``rows`` with the out-edges of the vertex in column ``key``."""
@@ -217,11 +216,11 @@ def pregel(
     update: Mapping[str, Column],
     changed: Column,
     send_if: Column | None = None,
-    max_rounds: int = 1000,
+    max_rounds: int | None = None,
     cut_every: int = 4,
     chunk_rows: int = EDGE_CHUNK_ROWS,
 ) -> DataFrame:
-    """Synchronous vertex rounds until no vertex is ``changed`` (or ``max_rounds`` passed).
+    """Synchronous vertex rounds until no vertex is ``changed``, or exactly ``max_rounds`` if given and reached first.
 
     ``initial`` sets the state columns from vertex columns; ``message`` is an
     expression over the source state and the edge columns; ``merge``
@@ -242,8 +241,8 @@ def pregel(
     sending = ~F.col("own") if send_if is None else ~F.col("own") & send_if
     state = materialise(state, "state")
     done = 0
-    while done < max_rounds:
-        for _ in range(min(cut_every, max_rounds - done)):
+    while max_rounds is None or done < max_rounds:
+        for _ in range(cut_every if max_rounds is None else min(cut_every, max_rounds - done)):
             met = index.follow(state.withColumnRenamed("id", "sender"), "sender")
             state = (
                 met.groupBy(F.col("dst").alias("id"))
@@ -260,8 +259,11 @@ def pregel(
     return state
 
 
-def shortest_paths(graph: PropertyGraph, source: int, weight: str, max_rounds: int = 1000, **options) -> DataFrame:
-    """Least total ``weight`` from ``source`` to every vertex; infinity where no path leads."""
+def shortest_paths(graph: PropertyGraph, source: int, weight: str, max_rounds: int | None = None, **options) -> DataFrame:
+    """Least total ``weight`` from ``source`` to every vertex; infinity where no path leads.
+
+    A bound on the rounds that is reached before the distances settle raises an error.
+    """
     infinity = F.lit(float("inf"))
     start = F.when(F.col("id") == source, F.lit(0.0)).otherwise(infinity)
     result = pregel(
@@ -278,6 +280,8 @@ def shortest_paths(graph: PropertyGraph, source: int, weight: str, max_rounds: i
         max_rounds=max_rounds,
         **options,
     )
+    if max_rounds is not None and not result.filter("moved").isEmpty():
+        raise RuntimeError(f"distances did not settle within {max_rounds} rounds")
     return result.select("id", "distance")
 
 
@@ -285,11 +289,14 @@ def pagerank(
     graph: PropertyGraph,
     tolerance: float = 0.001,
     reset: float = 0.15,
-    max_rounds: int = 1000,
+    max_rounds: int | None = None,
     cut_every: int = 4,
     **options,
 ) -> DataFrame:
-    """Ranks by passing rank changes above ``tolerance`` along out-edges; ranks are not normalised."""
+    """Ranks by passing rank changes above ``tolerance`` along out-edges; ranks are not normalised.
+
+    ``max_rounds`` asks for that many rounds at most instead of convergence.
+    """
     weights = graph.out_degrees().select(F.col("id").alias("src"), (1.0 / F.col("out_degree")).alias("weight"))
     weighted = graph.edges.select("src", "dst").join(materialise(weights, "weights"), "src")
     gain = (1.0 - reset) * F.coalesce(F.col("message"), F.lit(0.0))
@@ -308,7 +315,7 @@ def pagerank(
     return result.select("id", "rank")
 
 
-def connected_components(graph: PropertyGraph, max_rounds: int = 1000) -> DataFrame:
+def connected_components(graph: PropertyGraph) -> DataFrame:
     """Label every vertex with the least id of its undirected component.
 
     Each round points every vertex at its least smaller neighbour, follows the
@@ -318,9 +325,7 @@ def connected_components(graph: PropertyGraph, max_rounds: int = 1000) -> DataFr
     """
     edges = materialise(canonical_edges(graph.edges), "contracted")
     pointers: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         roots = _follow_to_roots(edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("root")))
         pointers.append(roots)
         ends = edges

@@ -77,15 +77,17 @@ def svm_weights(
     "l1" (soft threshold after the step).
     """
     weights = [0.0] * len(features)
-    y = F.col(label) * 2 - 1
+    # one array and one vector sum per step: the plan grows with the features only by their names
+    rows = df.select(
+        (F.col(label) * 2.0 - 1.0).alias("y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")
+    )
     for t in range(1, iterations + 1):
-        active = y * linear_margin(features, weights) < 1
-        sums = df.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(F.when(active, -y * F.col(c)).otherwise(0.0)).alias(f"g{i}") for i, c in enumerate(features)],
-        ).first()
+        margin = F.aggregate(F.zip_with("x", _literal(weights), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        pull = F.when(F.col("y") * margin < 1, -F.col("y")).otherwise(F.lit(0.0))
+        pulled = rows.select("x", pull.alias("pull")).select(F.transform("x", lambda v: v * F.col("pull")).alias("g"))
+        mean = pulled.agg(vector_to_array(Summarizer.mean(array_to_vector("g"))).alias("g")).first()["g"]
         rate = step / math.sqrt(t)
-        gradient = [sums[f"g{i}"] / sums["n"] for i in range(len(features))]
+        gradient = list(mean)
         if penalty == "l1":
             moved = [w - rate * g for w, g in zip(weights, gradient)]
             cut = regularisation * rate

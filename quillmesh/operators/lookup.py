@@ -1,4 +1,4 @@
-"""Dictionary joins that broadcast only what was measured to be small."""
+"""Dictionary joins; whether a side is small enough to broadcast is decided by Spark's own size check."""
 
 from __future__ import annotations
 
@@ -7,24 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: str | Sequence[str] | Column,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join with a dictionary: broadcast when it is small, otherwise a shuffled (skew-split) join."""
-    if fits_broadcast(right, max_rows):
-        right = F.broadcast(right)
+    """Join with a dictionary: broadcast below Spark's byte threshold, otherwise a shuffled (skew-split) join."""
     return left.join(right, on, how)
 
 
@@ -37,11 +26,9 @@ def encode_from(
     default: int | float | None = None,
 ) -> DataFrame:
     """Replace each of ``columns`` by its code in one dictionary, ``default`` where it has none."""
-    small = fits_broadcast(dictionary)
     out = df
     for column in columns:
         side = dictionary.select(F.col(key).alias(f"__key_{column}"), F.col(code).alias(f"__code_{column}"))
-        side = F.broadcast(side) if small else side
         out = out.join(side, F.col(column) == F.col(f"__key_{column}"), "left")
         value = F.col(f"__code_{column}")
         out = out.withColumn(column, value if default is None else F.coalesce(value, F.lit(default)))

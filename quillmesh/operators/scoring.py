@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators.learning import as_vectors, training_table
-from quillmesh.sources.writers import write_single_file
+from quillmesh.sources.writers import write_kept
 
 
 def train_forest(
@@ -40,7 +40,7 @@ def score_and_export(
     """Train on labelled rows, score a population, and write the keys predicted positive."""
     model = train_forest(train, features, **forest)
     chosen = score(population, model, features).filter("prediction = 1").select(key, "prediction")
-    write_single_file(chosen, path)
+    write_kept(chosen, path)
     return population.sparkSession.read.schema(chosen.schema).parquet(path)
 
 

@@ -220,7 +220,7 @@ def k1(t):
 def k3(t):
     path = scratch_path(t.spark, "single")
     chosen = t.orders.filter("o_totalprice > 250000").select("o_orderkey", "o_custkey")
-    WR.write_single_file(chosen, path)
+    WR.write_kept(chosen, path, one_file=True)
     back = t.spark.read.parquet(path)
     return back.withColumn("files", F.lit(len(back.inputFiles())))
 

@@ -13,9 +13,12 @@ from quillmesh.sources.writers import write_lines
 from quillmesh.streaming import jobs as ST
 
 
-def table_stream(t, name):
-    """The parquet files of a driver table as a stream."""
-    return ST.file_stream(t.spark, f"{t.folder}/{name}*.parquet", getattr(t, name).schema, "parquet")
+def table_stream(t, name, columns=None, files=4):
+    """The rows of a driver table, spread over several files in no order, as a stream of one file per batch."""
+    path = scratch_path(t.spark, "incoming")
+    rows = getattr(t, name).select(*(columns or ["*"]))
+    rows.repartition(files).write.parquet(path)
+    return ST.file_stream(t.spark, path, rows.schema, "parquet", files_per_batch=1)
 
 
 def line_folder(t, df, columns, sep=",", files=4):
@@ -40,13 +43,13 @@ def t2(t):
     """Counting works on any stream with a value column, here text files instead of a socket."""
     words = t.events.select("event_type", F.concat(F.lit("user"), "user_id").alias("who"))
     lines = ST.file_stream(t.spark, line_folder(t, words, ["event_type", "who"], sep=" "), files_per_batch=2)
-    return ST.latest(ST.to_table(ST.word_counts(lines), "update"), ["token"], "n")
+    return ST.count_rows(ST.tokens(lines), ["token"])
 
 
 @query("t3_streaming_word_count", WORDS_SQL)
 def t3(t):
-    lines = table_stream(t, "documents").select(F.col("text").alias("value"))
-    return ST.latest(ST.to_table(ST.word_counts(lines), "update"), ["token"], "n")
+    lines = table_stream(t, "documents", ["text"]).select(F.col("text").alias("value"))
+    return ST.count_rows(ST.tokens(lines), ["token"])
 
 
 @query(
@@ -54,8 +57,7 @@ def t3(t):
     """select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2""",
 )
 def t4(t):
-    counted = ST.interval_counts(table_stream(t, "events"), "ts", "1 hour", "1 day", ["event_type"])
-    table = ST.latest(ST.to_table(counted, "update"), ["start", "event_type"], "n")
+    table = ST.interval_counts(table_stream(t, "events", ["ts", "event_type"]), "ts", "1 hour", ["event_type"])
     return table.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -115,6 +117,6 @@ def t7(t):
 
 @query("t8_bounded_run", "select event_type, count(*) as n, round(sum(value), 2) as total from events group by event_type")
 def t8(t):
-    """Everything available is processed, waiting no longer than the given time."""
-    table = ST.to_table(table_stream(t, "events").select("event_type", "value"), timeout=3600)
+    """Everything available is processed, or the run fails."""
+    table = ST.to_table(table_stream(t, "events", ["event_type", "value"]))
     return table.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SINGLE_FILE_ROWS = 5_000_000
-
-
 def pair_text(key: str | Column, value: str | Column) -> Column:
     """``(key,value)``, the text form of a keyed row."""
     as_column = [F.col(c) if isinstance(c, str) else c for c in (key, value)]
@@ -21,16 +18,28 @@ def write_pairs(df: DataFrame, path: str, key: str, value: str) -> None:
 
 
 def write_lines(df: DataFrame, path: str, columns: Sequence[str], sep: str = ",") -> None:
-    """One line per row with fields joined by ``sep``; null fields are empty."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    """One line per row with fields joined by ``sep``; null fields are empty.
+
+    A field that holds the separator or a line end would shift its line when
+    read back, so it fails the job.
+    """
+
+    def field(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        breaks = text.contains(sep) | text.contains("\n")
+        return F.when(breaks, F.raise_error(F.concat(F.lit(f"{name} holds a separator: "), text))).otherwise(text)
+
+    fields = [field(c) for c in columns]
     df.select(F.concat_ws(sep, *fields).alias("value")).write.text(path)
 
 
-def write_single_file(df: DataFrame, path: str, max_rows: int = SINGLE_FILE_ROWS) -> bool:
-    """Parquet in one file when the rows fit one task, in several otherwise; tells which."""
-    single = df.limit(max_rows + 1).count() <= max_rows
-    (df.coalesce(1) if single else df).write.parquet(path)
-    return single
+def write_kept(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """Parquet written by as many tasks as the rows come from.
+
+    ``one_file`` shuffles the finished rows into one file at the end; what
+    leads to them still runs in parallel.
+    """
+    (df.repartition(1) if one_file else df).write.parquet(path)
 
 
 def strip_parentheses(spark: SparkSession, source: str, target: str) -> None:

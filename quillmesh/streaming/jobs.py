@@ -1,8 +1,10 @@
 """Structured Streaming jobs: file sources, counts, record maps, scoring and online regression.
 
-Results go to folders of one parquet table per micro-batch.  A batch that is
-run again after a failure overwrites its own folder, so results are exact, and
-nothing is gathered on the driver.
+A job has one folder for its progress and its results, one parquet table per
+micro-batch.  A batch that is run again after a failure overwrites its own
+table, and a job restarted on its folder goes on where it stopped and returns
+the results of all batches.  Counts are written per batch and added up when
+they are read: no state to keep, no row too late to count.
 """
 
 from __future__ import annotations
@@ -11,18 +13,25 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Model
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators.learning import as_vectors, linear_margin
 from quillmesh.session import scratch_path
 
 
+BATCH_BYTES = str(4 << 30)
+
+
 def file_stream(
     spark: SparkSession, path: str, schema: str | object = "value string", fmt: str = "text", files_per_batch: int | None = None
 ) -> DataFrame:
-    """New files of a folder or glob, in the given format."""
+    """New files of a folder or glob, in the given format; a batch takes ``files_per_batch`` files or ``BATCH_BYTES``."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if not files_per_batch:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     if fmt == "text":
         reader = reader.option("lineSep", "\n")
     if files_per_batch:
@@ -36,31 +45,57 @@ def run_batches(
     mode: str = "append",
     interval: str | None = None,
     timeout: int | None = None,
-    state: str | None = None,
-) -> None:
-    """Run ``each(batch, id)`` over everything available, or every ``interval`` for ``timeout`` seconds."""
+    folder: str | None = None,
+) -> bool:
+    """Run ``each(batch, id)`` over everything available, or every ``interval`` for ``timeout`` seconds.
+
+    Returns whether the stream came to its end; a timeout leaves it unfinished.
+    """
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state or scratch_path(spark, "progress"))
+    folder = folder or scratch_path(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress")
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     running = writer.foreachBatch(each).start()
     try:
-        running.awaitTermination(timeout) if timeout else running.awaitTermination()
+        return bool(running.awaitTermination(timeout)) if timeout else running.awaitTermination() is None
     finally:
         running.stop()
 
 
-def to_table(stream: DataFrame, mode: str = "append", **options) -> DataFrame:
-    """Run a stream into a parquet folder with one part per batch; returns rows with their ``batch``."""
+def to_table(
+    stream: DataFrame,
+    mode: str = "append",
+    each: Callable[[DataFrame], DataFrame] | None = None,
+    folder: str | None = None,
+    **options,
+) -> DataFrame:
+    """Run a stream into one parquet table per batch, through ``each`` if given; returns rows with their ``batch``.
+
+    ``folder`` holds progress and results: on a folder used before, the new
+    batches are added and all results returned.  A run on available data that a
+    timeout cuts short raises ``TimeoutError``, and the next run on the folder
+    goes on from there.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, "stream")
-    schema = stream.schema
+    folder = folder or scratch_path(spark, "stream")
+    path = f"{folder}/result"
+    each = each or (lambda batch: batch)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        each(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    finished = run_batches(stream, store, mode, folder=folder, **options)
+    if not finished and not options.get("interval"):
+        raise TimeoutError(f"the stream did not end in time; its results so far are in {folder}")
+    fields = each(spark.createDataFrame([], stream.schema)).schema.fields
+    described = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return spark.read.schema(f"{described}, batch int").parquet(path)
 
-    run_batches(stream, store, mode, **options)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return spark.read.schema(f"{fields}, batch int").parquet(path)
+
+def count_rows(stream: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """Rows per key over the whole stream: partial counts per batch, added up here."""
+    partial = to_table(stream, each=lambda b: b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), **options)
+    return partial.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def latest(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -68,17 +103,20 @@ def latest(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
+def tokens(lines: DataFrame, pattern: str = r"\s+") -> DataFrame:
+    """One ``token`` per row of any streaming table with a ``value`` column."""
+    return lines.select(F.explode(F.split("value", pattern)).alias("token")).filter("token <> ''")
+
+
 def word_counts(lines: DataFrame, pattern: str = r"\s+") -> DataFrame:
-    """Running count per token of any streaming table with a ``value`` column."""
-    words = lines.select(F.explode(F.split("value", pattern)).alias("token")).filter("token <> ''")
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """Running count per token, kept as streaming state; :func:`count_rows` of tokens keeps none."""
+    return tokens(lines, pattern).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def interval_counts(events: DataFrame, time: str, interval: str, lateness: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per tumbling interval of event time; rows later than ``lateness`` are dropped."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
-    counted = timed.groupBy(F.window(time, interval), *keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("window.start").alias("start"), *keys, "n")
+def interval_counts(events: DataFrame, time: str, interval: str, keys: Sequence[str] = (), **options) -> DataFrame:
+    """Rows per tumbling interval of event time (``start``), however late a row arrives."""
+    start = F.window(F.col(time).cast("timestamp"), interval)["start"].alias("start")
+    return count_rows(events.select(start, *keys), ["start", *keys], **options)
 
 
 def map_records(lines: DataFrame, dropped: Sequence[int], sep: str = ",") -> DataFrame:
@@ -109,27 +147,38 @@ class OnlineRegression:
         self.spark, self.label, self.features = spark, label, list(features)
         self.path = path or scratch_path(spark, "regression")
 
-    def _products(self) -> list[Column]:
-        n = len(self.features)
-        squares = [
-            F.sum(F.col(self.features[i]) * F.col(self.features[j])).alias(f"x{i}_{j}") for i in range(n) for j in range(i, n)
-        ]
-        return squares + [F.sum(F.col(f) * F.col(self.label)).alias(f"y{i}") for i, f in enumerate(self.features)]
-
     def update(self, batch: DataFrame, number: int) -> None:
-        batch.agg(*self._products()).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        """Sums of x xT and x y as two vectors, whatever the number of features."""
+        x = F.array(*[F.col(f).cast("double") for f in self.features])
+        rows = batch.select(x.alias("x"), F.col(self.label).cast("double").alias("y")).filter(
+            F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull())
+        )
+        outer = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
+        sums = rows.agg(
+            Summarizer.sum(array_to_vector(outer)).alias("xx"),
+            Summarizer.sum(array_to_vector(F.transform("x", lambda a: a * F.col("y")))).alias("xy"),
+        )
+        sums.select(vector_to_array("xx").alias("xx"), vector_to_array("xy").alias("xy")).write.mode("overwrite").parquet(
+            f"{self.path}/batch={number}"
+        )
 
     def train_on(self, stream: DataFrame, **options) -> OnlineRegression:
-        run_batches(stream, self.update, **options)
+        if not run_batches(stream, self.update, **options):
+            raise TimeoutError("the training stream did not end in time")
         return self
 
     def weights(self) -> list[float]:
+        """Least-squares weights; of collinear or constant features the solution of least norm."""
         n = len(self.features)
-        names = [f"x{i}_{j}" for i in range(n) for j in range(i, n)] + [f"y{i}" for i in range(n)]
-        sums = self.spark.read.parquet(self.path).agg(*[F.sum(c).alias(c) for c in names]).first()
-        left = np.array([[sums[f"x{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], dtype=float)
-        right = np.array([sums[f"y{i}"] for i in range(n)], dtype=float)
-        return [float(w) for w in np.linalg.solve(left, right)]
+        table = self.spark.read.schema("xx array<double>, xy array<double>, batch int").parquet(self.path)
+        table = table.filter(F.size("xx") == n * n)  # a batch without rows sums to nothing
+        sums = table.agg(*[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("xx", "xy")]).first()
+        left = np.array(sums["xx"], dtype=float).reshape(n, n)
+        right = np.array(sums["xy"], dtype=float)
+        scale = np.sqrt(np.where(np.diag(left) > 0, np.diag(left), 1.0))
+        full = np.linalg.matrix_rank(left / np.outer(scale, scale), hermitian=True) == n
+        found = np.linalg.solve(left, right) if full else np.linalg.lstsq(left, right, rcond=None)[0]
+        return [float(w) for w in found]
 
     def predict(self, table: DataFrame) -> DataFrame:
         """Add ``prediction`` under the weights known now; works on streams and tables."""

@@ -69,6 +69,16 @@ def test_linear_svm_steps(spark, penalty):
     assert found == pytest.approx(svm_by_hand(x, 2 * label - 1, 6, 0.1, penalty), abs=1e-9)
 
 
+def test_linear_svm_of_many_features(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, 150))
+    label = (x[:, 0] > 0).astype(int)
+    names = [f"f{i}" for i in range(150)]
+    df = spark.createDataFrame([(int(t), *map(float, r)) for t, r in zip(label, x)], ", ".join(["label int", *[f"{n} double" for n in names]]))
+    found = L.svm_weights(df, "label", names, 3)
+    assert found == pytest.approx(svm_by_hand(x, 2 * label - 1, 3, 0.0, "l2"), abs=1e-9)
+
+
 @pytest.mark.parametrize("name", ["gaussian", "linear", "polynomial"])
 @pytest.mark.parametrize("biased", [True, False])
 def test_kernel_svm_equals_plain_recursion(spark, name, biased):
@@ -123,6 +133,22 @@ def test_streaming_counts_over_batches_equal_batch_counts(spark):
     assert found == {w: words.count(w) for w in set(words)}
 
 
+def test_counts_without_state_and_a_restart_that_keeps_earlier_batches(spark):
+    folder, incoming = scratch_path(spark, "job"), text_folder(spark, ["a b"] * 40, 4)
+    count = lambda: ST.count_rows(ST.tokens(ST.file_stream(spark, incoming, files_per_batch=1)), ["token"], folder=folder)
+    assert {tuple(r) for r in count().collect()} == {("a", 40), ("b", 40)}
+    spark.createDataFrame([("b c",)] * 3, "value string").write.mode("append").text(incoming)
+    assert {tuple(r) for r in count().collect()} == {("a", 40), ("b", 43), ("c", 3)}
+
+
+def test_a_run_cut_short_is_an_error_and_can_go_on(spark):
+    folder, incoming = scratch_path(spark, "job"), text_folder(spark, [str(i) for i in range(120)], 60)
+    stream = lambda: ST.file_stream(spark, incoming, files_per_batch=1)
+    with pytest.raises(TimeoutError):
+        ST.to_table(stream(), folder=folder, timeout=1)
+    assert ST.to_table(stream(), folder=folder).count() == 120
+
+
 def test_streaming_record_map(spark):
     stream = ST.file_stream(spark, text_folder(spark, ["1,,x,", "2,b,,z"], 2))
     found = ST.to_table(ST.map_records(stream, dropped=[0])).select("fields").collect()
@@ -151,10 +177,17 @@ def test_online_regression_counts_a_repeated_batch_once(spark):
     assert model.weights() == once
 
 
-def test_event_time_intervals_drop_only_late_rows(spark):
-    df = spark.range(100).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+def test_event_time_intervals_count_rows_however_late(spark):
+    df = spark.range(100).select(F.timestamp_seconds(F.col("id") * 60 * ((-1) ** F.col("id")).cast("int")).alias("ts"))
     path = scratch_path(spark, "events")
-    df.write.parquet(path)
-    counted = ST.interval_counts(ST.file_stream(spark, path, df.schema, "parquet"), "ts", "10 minutes", "1 hour")
-    table = ST.latest(ST.to_table(counted, "update"), ["start"], "n")
-    assert [r["n"] for r in table.collect()] == [10] * 10
+    df.repartition(5).write.parquet(path)
+    stream = ST.file_stream(spark, path, df.schema, "parquet", files_per_batch=1)
+    table = ST.interval_counts(stream, "ts", "10 minutes")
+    assert table.agg(F.sum("n")).first()[0] == 100 and table.select("start").distinct().count() == table.count()
+
+
+def test_online_regression_of_collinear_features(spark):
+    df = spark.createDataFrame([(2.0 * a, float(a), float(a)) for a in range(9)], "y double, a double, b double")
+    model = ST.OnlineRegression(spark, "y", ["a", "b"])
+    model.update(df, 0)
+    assert model.weights() == pytest.approx([1.0, 1.0])

@@ -71,12 +71,16 @@ def test_vocabulary_codes_and_unknowns(spark):
         E.vocabulary_list(df, "p", max_values=1)
 
 
-def test_lookup_join_beyond_the_bound_is_not_broadcast(spark):
-    left, right = spark.range(50), spark.range(50).withColumn("v", F.col("id") * 2)
-    small, large = lookup_join(left, right, "id"), lookup_join(left, right, "id", max_rows=10)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-    assert hinted(small) and not hinted(large)
+def test_lookup_join_leaves_broadcasts_to_sparks_size_check(spark):
+    left = spark.range(50)
+    right = spark.range(50).select("id", F.col("id").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = lookup_join(left, right, "id")
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_scaling_with_training_stats_and_constant_column(spark):
@@ -159,14 +163,22 @@ def test_line_parsers(spark):
     assert [tuple(r) for r in facts.collect()] == [(1, 2, "1:2:a:b:c:d^e")]
 
 
-def test_single_file_sink_falls_back_for_many_rows(spark):
+def test_kept_rows_are_written_in_parallel_unless_one_file_is_asked_for(spark):
     df = spark.range(0, 100, 1, 4)
     one_file, many = scratch_path(spark, "one"), scratch_path(spark, "many")
-    assert WR.write_single_file(df, one_file) and not WR.write_single_file(df, many, max_rows=50)
-    assert len(spark.read.parquet(one_file).inputFiles()) == 1
+    WR.write_kept(df, one_file, one_file=True)
+    WR.write_kept(df, many)
+    assert len(spark.read.parquet(one_file).inputFiles()) == 1 and len(spark.read.parquet(many).inputFiles()) == 4
     assert spark.read.parquet(many).count() == 100
 
 
+def test_lines_refuse_a_field_with_the_separator(spark):
+    df = spark.createDataFrame([("a,b", "c")], "x string, y string")
+    with pytest.raises(Exception, match="holds a separator"):
+        WR.write_lines(df, scratch_path(spark, "lines"), ["x", "y"])
+    WR.write_lines(df, scratch_path(spark, "lines"), ["x", "y"], sep="|")
+
+
 def test_delimited_reader_keeps_empty_tail(spark):
     path = scratch_path(spark, "csv")
     lines(spark, "1,,", "2,x,").write.text(path)
