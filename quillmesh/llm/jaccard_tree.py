@@ -223,8 +223,12 @@ def overlap_bound(a, b):
     return F.aggregate(least, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that are links: bound first, then the sets."""
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, few: bool = True) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that are links: bound first, then the sets.
+
+    ``few``: only part of the nodes is in a pair, so the sets are narrowed to
+    those before both sides of the pairs meet them.
+    """
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("point").alias("p_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("point").alias("p_b"))
     bounded = (
@@ -234,6 +238,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
         .filter(overlap_bound(F.col("p_a"), F.col("p_b")) >= _needed(F.col("n_a"), F.col("n_b"), percent))
         .select("a", "b")
     )
+    if few:
+        bounded = materialise(bounded, "bounded")
+        sets = sets.join(bounded.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
     both = bounded.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
     )
@@ -289,7 +296,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
 
     # Round 1: every node with the least leader of its cells.
     first = members.filter("node <> lead").groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b")
-    links = materialise(_verified(first, nodes, sets, percent), "links")
+    links = materialise(_verified(first, nodes, sets, percent, few=False), "links")
     found = contract(links)
     # Round 2: with every other leader it is not yet connected to.
     apart = _relabelled(members.filter("node <> lead").select("node", "lead").distinct(), found, ("node", "lead"))
