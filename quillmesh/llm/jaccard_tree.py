@@ -188,25 +188,23 @@ def _different_cells(members: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, n_shingles, shingles`` of the wanted nodes, read from the documents again."""
+    """``node, shingles`` of the wanted nodes, read from the documents again.
+
+    Ids that repeat with other texts are told apart by the keys of the set;
+    repeated rows are reduced to one before their sets are built.
+    """
 
     def rows(batch: pa.RecordBatch):
         sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-        keys = [_set_keys(s) for s in sets]
+        expected = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        keep = [k for k, (s, e) in enumerate(zip(sets, expected)) if _set_keys(s) == e]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([k[0] for k in keys], pa.int64()),
-                pa.array([k[1] for k in keys], pa.int64()),
-                list_array([signed(s) for s in sets], pa.int64()),
-            ],
-            names=["node", "key", "key2", "shingles"],
+            [batch.column(0).take(pa.array(keep, pa.int64())), list_array([signed(sets[k]) for k in keep], pa.int64())],
+            names=["node", "shingles"],
         )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
-    read = map_batches(texts, "node bigint, key bigint, key2 bigint, shingles array<bigint>", rows)
-    # ids that repeat with other texts are told apart by the keys of the set
-    return read.join(wanted, ["node", "key", "key2"], "left_semi").dropDuplicates(["node"]).drop("key", "key2")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").distinct()
+    return map_batches(texts.select("node", "text", "key", "key2"), "node bigint, shingles array<bigint>", rows)
 
 
 def _needed(n_a, n_b, percent: int):
