@@ -35,10 +35,15 @@ def score(df: DataFrame, model: Model, features: Sequence[str]) -> DataFrame:
 
 
 def score_and_export(
-    train: DataFrame, population: DataFrame, key: str, features: Sequence[str], path: str, **forest
+    train: DataFrame, population: DataFrame, key: str, features: Sequence[str], path: str, model_path: str | None = None, **forest
 ) -> DataFrame:
-    """Train on labelled rows, score a population, and write the keys predicted positive."""
+    """Train on labelled rows, score a population, and write the keys predicted positive.
+
+    ``model_path`` also keeps the model.
+    """
     model = train_forest(train, features, **forest)
+    if model_path is not None:
+        save_model(model, model_path)
     chosen = score(population, model, features).filter("prediction = 1").select(key, "prediction")
     write_kept(chosen, path)
     return population.sparkSession.read.schema(chosen.schema).parquet(path)

@@ -375,16 +375,44 @@ def m16(t):
     return SC.score(data.filter("part = 1"), model, FEATURES).select("id", "label", "prediction")
 
 
+def scoring_populations(t):
+    """(finished and open orders with their label, pending orders)."""
+    rows = materialise(order_features(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id"))
+    train = rows.filter("o_orderstatus <> 'P'").select("id", "label", *FEATURES)
+    return train, rows.filter("o_orderstatus = 'P'").select("id", *FEATURES)
+
+
 @query("m17_score_and_export")
 def m17(t):
     """Train on finished and open orders, score the pending ones, keep the predicted positives."""
-    rows = materialise(order_features(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id"))
-    train = rows.filter("o_orderstatus <> 'P'").select("id", "label", *FEATURES)
-    population = rows.filter("o_orderstatus = 'P'").select("id", *FEATURES)
+    train, population = scoring_populations(t)
     path = scratch_path(t.spark, "chosen")
     return SC.score_and_export(train, population, "id", FEATURES, path, trees=10, depth=8)
 
 
+@query(
+    "m17_export_is_whole",
+    with_features("""select count(*) as scored, 0::bigint as missing, 0::bigint as extra
+        from features join orders on o_orderkey = id where o_orderstatus = 'P'"""),
+)
+def m17_whole(t):
+    """Exported keys are those that the saved model predicts positive: none missing, none extra."""
+    train, population = scoring_populations(t)
+    model = scratch_path(t.spark, "model")
+    chosen = SC.score_and_export(
+        train, population, "id", FEATURES, scratch_path(t.spark, "chosen"), model_path=model, trees=10, depth=8
+    )
+    scored = SC.score(population, SC.load_model(model), FEATURES).select("id", F.col("prediction").alias("again"))
+    both = scored.join(chosen, "id", "full").select(
+        F.col("again").isNotNull().alias("known"), (F.col("again") == 1).alias("wanted"), F.col("prediction").isNotNull().alias("given")
+    )
+    return both.agg(
+        F.count_if("known").alias("scored"),
+        F.count_if(F.col("wanted") & ~F.col("given")).alias("missing"),
+        F.count_if(F.col("given") & ~F.coalesce("wanted", F.lit(False))).alias("extra"),
+    )
+
+
 @query("m18_model_dump")
 def m18(t):
     data = L.training_table(order_features(t), FEATURES)

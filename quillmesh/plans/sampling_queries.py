@@ -12,6 +12,27 @@ def unit_sql(key: str, seed: int | str = 0) -> str:
     return f"(('0x' || substr(md5({key}::varchar || ':{seed}'), 1, 8))::bigint / 4294967296.0::double)"
 
 
+def random_draw_check(rows, drawn, label: str, drawn_class: int, factor: float):
+    """One row: rows of the other classes, rows the source lacks, and whether the drawn class has about ``factor`` times its rows.
+
+    A draw of n rows at a given factor has a deviation of at most sqrt(n * factor);
+    six of them and one row are let through.
+    """
+    few = rows.filter(F.col(label) == drawn_class).count()
+    foreign = drawn.join(rows, ["doc_id", label], "left_anti").count()
+    off = F.abs(F.count_if(F.col(label) == drawn_class) - F.lit(few * factor))
+    return drawn.agg(
+        F.count_if(F.col(label) != drawn_class).alias("others"),
+        F.lit(foreign).cast("bigint").alias("foreign_rows"),
+        (off <= 6 * (few * factor) ** 0.5 + 1).alias("within_bound"),
+    )
+
+
+def random_draw_sql(label: str, drawn_class: int) -> str:
+    return f"""select count(*) filter ({label} <> {drawn_class}) as others, 0::bigint as foreign_rows,
+        true as within_bound from labels"""
+
+
 @query(
     "b1_hash_split",
     f"""select o_orderkey, case when {unit_sql('o_orderkey', 11)} < 0.7::double then 0
@@ -51,11 +72,23 @@ def b2_random(t):
     return B.oversample_random(rows, "quality", factor, seed=7, minority=0)
 
 
+@query("b2_oversample_random_bounds", random_draw_sql("quality", 0))
+def b2_random_bounds(t):
+    rows = t.labels.select("doc_id", "quality")
+    factor = B.majority_ratio(rows, "quality", minority=0)
+    return random_draw_check(rows, b2_random(t), "quality", 0, factor)
+
+
 @query("b3_fixed_factor_oversample")
 def b3(t):
     return B.oversample_random(t.labels.select("doc_id", "toxic"), "toxic", 93.0, seed=7)
 
 
+@query("b3_fixed_factor_bounds", random_draw_sql("toxic", 1))
+def b3_bounds(t):
+    return random_draw_check(t.labels.select("doc_id", "toxic"), b3(t), "toxic", 1, 93.0)
+
+
 @query(
     "b3_fixed_factor_by_key",
     f"""select doc_id, toxic, unnest(range(1, case when toxic <> 1 then 2
@@ -86,6 +119,11 @@ def b5_random(t):
     return B.undersample_random(t.labels.select("doc_id", "toxic"), "toxic", {0: 0.15, 1: 1.0}, seed=9)
 
 
+@query("b5_undersample_random_bounds", random_draw_sql("toxic", 0))
+def b5_random_bounds(t):
+    return random_draw_check(t.labels.select("doc_id", "toxic"), b5_random(t), "toxic", 0, 0.15)
+
+
 @query(
     "b6_class_balance",
     """select count(*) filter (toxic = 1) as positives, count(*) filter (toxic = 0) as negatives,
