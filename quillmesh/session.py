@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 # Runtime settings the operators rely on.  Skewed joins are split by AQE, also
-# where that costs one more shuffle; timestamps are compared in UTC.
+# where that costs one more shuffle; timestamps are compared in UTC; a batch of
+# rows on its way to or from Python is bounded by bytes, as texts can be long.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
