@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from quillmesh.llm.common import fresh_name, map_batches
 
 BLOCK = 1 << 15  # characters normalised at once
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 16  # in each of two generations; about 25 MB in all, whatever the vocabulary of the corpus
 CACHED_LENGTH = 48
 DECODE_IDS = 1 << 14
 NO_MERGE, ID_MASK = 1 << 62, (1 << 32) - 1
@@ -91,6 +91,7 @@ class MergeList:
             for i, n in enumerate(self.names)
         ]
         self.lookahead = self._sufficient_lookahead()
+        del self.parts, self.rules  # only the lookahead needs them
         self.window = 2 * (self.lookahead + max(self.sizes.values())) + 2
 
     def _sufficient_lookahead(self) -> int:
