@@ -24,9 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of linked documents."""
+    """Keep one document, that of the smallest id, of each group of linked documents.
+
+    Five words and 0.8 keep edited copies together up to about 2.2 % of changed
+    words; op8's three words and 0.9 would part them from 1.75 % on.
+    """
     tune(spark)
-    return jaccard_tree.one_per_component(docs)
+    return jaccard_tree.one_per_component(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
