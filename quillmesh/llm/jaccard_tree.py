@@ -22,11 +22,16 @@ Components need no pair inside a connected group: each point is first verified a
 the leading point of its cells, the verified links are contracted, and only
 cells whose points stay apart are compared further, leaf by leaf.  Equal sets are one
 point throughout, so copies cost nothing, and cells of the same points are one.
+
+The join proper (``links``, ``link_counts``) needs every pair.  All links lie inside
+components, so it takes the components, cuts each into leaves, and lets every two
+leaves of a component meet once with their sets, where all pairs are counted exactly.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -269,14 +274,8 @@ def contract(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for every row of ``docs``.
-
-    ``class_id`` is the smallest id with the same set, ``component_id`` the
-    smallest id reachable over links, a link being Jaccard >= percent / 100.
-    Rows are kept as they repeat.  A text without words is linked with nothing
-    (its own id in both columns); a row without id neither, its columns are null.
-    """
+def _connect(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points of all rows, classes, sets of the points that share a cell, their components)."""
     pts = materialise(points(docs, size, percent), "points")
     linked = pts.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(linked.groupBy("key", "key2").agg(F.min("doc_id").alias("node")), "classes")
@@ -313,6 +312,18 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     links = links.union(materialise(_verified(rest, nodes, sets, percent), "links"))
     found = contract(links)
 
+    return pts, classes, sets, found
+
+
+def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` for every row of ``docs``.
+
+    ``class_id`` is the smallest id with the same set, ``component_id`` the
+    smallest id reachable over links, a link being Jaccard >= percent / 100.
+    Rows are kept as they repeat.  A text without words is linked with nothing
+    (its own id in both columns); a row without id neither, its columns are null.
+    """
+    pts, classes, _, found = _connect(docs, size, percent)
     roots = classes.join(found, "node", "left").select(
         "key", "key2", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id")
     )
@@ -335,6 +346,21 @@ def _relabelled(df: DataFrame, found: DataFrame, columns: tuple[str, ...]) -> Da
     return df
 
 
+def _each_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group of a partition sorted by ``keys``, whole."""
+    held = None  # rows of the group that the next batch may go on with
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        marks = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1), table.num_rows]
+        for start, stop in zip(cuts[:-2], cuts[1:-1]):
+            yield table.slice(start, stop - start)
+        held = table.slice(cuts[-2])
+    if held is not None and held.num_rows:
+        yield held
+
+
 def _descend(left: DataFrame, percent: int) -> DataFrame:
     """``a, b, c_a, c_b, slack``: pairs of points from different groups of one cell that the bounds let through.
 
@@ -394,22 +420,111 @@ def _descend(left: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["a", "b", "c_a", "c_b", "slack"])
 
     def rows(batches):
-        held = None  # rows of the group that the next batch may go on with
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("cell", "i", "j")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), table.num_rows]
-            for start, stop in zip(cuts[:-2], cuts[1:-1]):
-                yield near(table.slice(start, stop - start))
-            held = table.slice(cuts[-2])
-        if held is not None and held.num_rows:
-            yield near(held)
+        for table in _each_group(batches, ("cell", "i", "j")):
+            yield near(table)
 
     pairs = groups.mapInArrow(rows, "a bigint, b bigint, c_a bigint, c_b bigint, slack bigint")
     return pairs.groupBy("a", "b", "c_a", "c_b").agg(F.max("slack").alias("slack"))
 
 
+def _meeting_leaves(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``component, i, j, leaf, node, shingles``: every two leaves of a component in one group, sorted by it."""
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    inside = materialise(found.select("node", "component").union(roots), "inside")
+    counted = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).cast("int").alias("leaves"))
+    leaf = F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")
+    placed = inside.join(counted, "component").withColumn("leaf", leaf)
+    other = F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other")
+    placed = placed.join(sets, "node").select("component", "leaf", other, "node", "shingles")
+    placed = placed.select(
+        "component", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "node", "shingles"
+    )
+    return placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+
+def _linked_rows(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row of one group its number and those of the later rows it is linked with."""
+    i, j, leaf = (table.column(c).to_numpy() for c in ("i", "j", "leaf"))
+    lists = table.column("shingles").combine_chunks()
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    _, ids = np.unique(lists.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
+    starts = starts - starts[0]
+    n = np.diff(starts)
+    across = i[0] != j[0]
+    mark = np.zeros(ids.max() + 1, dtype=bool)
+    for k in range(len(n) - 1):
+        mine = ids[starts[k] : starts[k + 1]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[ids[starts[k + 1] :]], starts[k + 1 : -1] - starts[k + 1], dtype=np.int64)
+        mark[mine] = False
+        linked = 100 * shared >= percent * (n[k] + n[k + 1 :] - shared)
+        if across:
+            linked &= leaf[k + 1 :] != leaf[k]
+        yield k, np.flatnonzero(linked) + k + 1
+
+
+def _pairs_of(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` with a < b: all linked pairs of nodes, each once."""
+
+    def rows(batches):
+        for table in _each_group(batches, ("component", "i", "j")):
+            node = table.column("node").to_numpy()
+            for k, others in _linked_rows(table, percent):
+                ends = np.full(len(others), node[k]), node[others]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"]
+                )
+
+    return _meeting_leaves(sets, found).mapInArrow(rows, "a bigint, b bigint")
+
+
+def _counts_of(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``node, n_links``: counted where the leaves meet, so that no pair is sent anywhere."""
+
+    def rows(batches):
+        for table in _each_group(batches, ("component", "i", "j")):
+            total = np.zeros(table.num_rows, dtype=np.int64)
+            for k, others in _linked_rows(table, percent):
+                total[k] += len(others)
+                total[others] += 1
+            yield pa.RecordBatch.from_arrays(
+                [table.column("node").combine_chunks(), pa.array(total)], names=["node", "n"]
+            )
+
+    met = _meeting_leaves(sets, found).mapInArrow(rows, "node bigint, n bigint")
+    return met.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def _with_class(pts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, class_id`` for every row; a row without id has no class, a text without words its own."""
+    joined = pts.join(classes.withColumnRenamed("node", "class_id"), ["key", "key2"], "left")
+    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id"))
+    return joined.select("doc_id", "n_shingles", own.alias("class_id"))
+
+
+def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """The join: (``a, b`` with a < b, all linked pairs of classes; ``doc_id, n_shingles, class_id`` of every row).
+
+    Rows of one class have equal sets; the pairs of documents are those of the
+    classes by membership, which would repeat every link once per pair of copies.
+    """
+    pts, classes, sets, found = _connect(docs, size, percent)
+    return _pairs_of(sets, found, percent), _with_class(pts, classes)
+
+
+def link_counts(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, n_shingles, class_id, n_links`` for every row of ``docs``.
+
+    ``n_links`` is the number of other classes the row's class is linked with,
+    so copies do not count; 0 without words, null without id.
+    """
+    pts, classes, sets, found = _connect(docs, size, percent)
+    counts = materialise(_counts_of(sets, found, percent), "link-counts")
+    rows = _with_class(pts, classes).join(counts.withColumnRenamed("node", "class_id"), "class_id", "left")
+    number = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("n_links", F.lit(0)))
+    return rows.select("doc_id", "n_shingles", "class_id", number.cast("long").alias("n_links"))
+
+
 def one_per_component(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Keep the document with the smallest id of every component; all columns unchanged.
 

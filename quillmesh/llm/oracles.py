@@ -84,8 +84,14 @@ m as (select a as class_id, min(b) as component_id from r group by a)
 select doc_id, len(s.g)::bigint as n_shingles, coalesce(class_id, doc_id) as class_id, coalesce(component_id, doc_id) as component_id
 from s left join c on s.g = c.g left join m using (class_id)"""
 
+_JACCARD_LINKS = _JACCARD.rsplit("\nselect doc_id", 1)[0] + """,
+k as (select a as class_id, count(*) as n_links from l group by a)
+select doc_id, len(s.g)::bigint as n_shingles, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0)::bigint as n_links
+from s left join c on s.g = c.g left join k using (class_id)"""
+
 ORACLES = {
     "op6_secret_scans": _secrets(),
     "op7_quality_rules": _quality(),
     "op8_jaccard_join": _JACCARD,
+    "jaccard_link_counts": _JACCARD_LINKS,
 }

@@ -76,6 +76,11 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_tree.link_components(Tables(spark, folder).documents)
 
 
+def jaccard_link_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The join of op8 with the number of links; beside it, as the SQL of op8 has no such column."""
+    return jaccard_tree.link_counts(Tables(spark, folder).documents)
+
+
 def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(Tables(spark, folder).documents).drop("expressions", "satisfied")
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_secret_scans,
         op7_quality_rules,
         op8_jaccard_join,
+        jaccard_link_counts,
         op9_license_scans,
         op10_language_id,
     )

@@ -1,9 +1,14 @@
 """What the second review found missing: each case fails on the code before it."""
 
+from collections import Counter
+
+import pytest
 import test_pipeline
-from brute import components
+from brute import components, shingle_set
+from test_operators import lookalikes, table
 
 import corpus_pipeline
+from quillmesh.llm import jaccard_tree
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +23,31 @@ def test_pipeline_joins_copies_on_five_words(spark):
 def test_whole_pipeline_on_five_words(spark, monkeypatch):
     monkeypatch.setattr(test_pipeline, "components", lambda docs: components(docs, percent=80, size=5))
     test_pipeline.test_pipeline_equals_brute_force(spark)
+
+
+@pytest.mark.parametrize("leaf", [8, 256])
+def test_join_finds_every_link(spark, monkeypatch, leaf):
+    """Families of mutually linked edited copies: all their pairs, not only those that connect them."""
+    monkeypatch.setattr(jaccard_tree, "LEAF", leaf)
+    texts = lookalikes(11, 3, (25, 35), (100, 140), (0, 3))
+    docs = [*texts, (900, texts[0][1]), (901, ""), (902, None), (None, "no id here")]
+    classes = {}
+    for i, text in docs:
+        if i is not None and (s := frozenset(shingle_set(text))):
+            classes.setdefault(s, []).append(i)
+    order = [(min(ids), s) for s, ids in classes.items()]
+    wanted = {
+        (min(a, b), max(a, b))
+        for k, (a, s) in enumerate(order)
+        for b, t in order[k + 1 :]
+        if 100 * len(s & t) >= 90 * len(s | t)
+    }
+    pairs, members = jaccard_tree.links(table(spark, docs))
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > len(order)
+    class_of = {i: min(ids) for ids in classes.values() for i in ids} | {901: 901, 902: 902, None: None}
+    assert sorted(((r["doc_id"], r["class_id"]) for r in members.collect()), key=repr) == sorted(class_of.items(), key=repr)
+    degree = Counter(x for pair in wanted for x in pair)
+    counts = jaccard_tree.link_counts(table(spark, docs)).collect()
+    assert len(counts) == len(docs)
+    assert {r["doc_id"]: r["n_links"] for r in counts} == {i: None if i is None else degree[c] for i, c in class_of.items()}
