@@ -24,11 +24,22 @@ KINDS = (
     ("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
 )
+# A private key is its whole block: header, body without five hyphens in a row, footer.  Where the footer is
+# missing the lines of base64 after the header are taken; a header alone is a mention, not a key.
+_BLANK = "(?:\\\\[nr]|[\\x20\\x09-\\x0D])"
+_PRIVATE_KEY = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    f"|(?:{_BLANK}*(?:Proc-Type|DEK-Info):[^\\x0A]*){{0,2}}(?:{_BLANK}*[A-Za-z0-9+/=]{{16,}})+"
+    f"(?:{_BLANK}+[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
+)
+# What the hash of a block leaves out: all keys of a type share it, or it depends on how the text is laid out.
+_AROUND_KEY = f"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|{_BLANK}"
+
 # Kinds that the ownership method adds; their spans count only when owner-specific.
 ADDED = (
     (
         "key",
-        "-----BEGIN [A-Z ]*PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+        _PRIVATE_KEY + "|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
         "|eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+|AIza[A-Za-z0-9_-]{35}",
         0,
         1,
@@ -108,6 +119,9 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owne
     ends = F.sum(F.col("gap") + F.col("len")).over(along)
     names = F.array(*[F.lit(k[0]) for k in ALL_KINDS])
     hits = hits.select("*", ends.alias("end")).filter("fits")
+    value = F.col("value")
+    body = F.when(value.startswith("-----BEGIN"), F.regexp_replace(value, _AROUND_KEY, "")).otherwise(value)
+    hits = hits.withColumn("value", body)
     return scanned.select("row_id", "doc_id"), hits.select(
         "row_id",
         "doc_id",

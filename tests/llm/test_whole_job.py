@@ -1,5 +1,7 @@
 """What the second review found missing: each case fails on the code before it."""
 
+import random
+import string
 from collections import Counter
 
 import pytest
@@ -8,7 +10,7 @@ from brute import components, shingle_set
 from test_operators import lookalikes, table
 
 import corpus_pipeline
-from quillmesh.llm import jaccard_tree
+from quillmesh.llm import jaccard_tree, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,26 @@ def test_join_finds_every_link(spark, monkeypatch, leaf):
     counts = jaccard_tree.link_counts(table(spark, docs)).collect()
     assert len(counts) == len(docs)
     assert {r["doc_id"]: r["n_links"] for r in counts} == {i: None if i is None else degree[c] for i, c in class_of.items()}
+
+
+def pem(seed, kind="RSA ", footer=True):
+    rng = random.Random(seed)
+    lines = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(4)]
+    body = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(lines)
+    return body + f"\n-----END {kind}PRIVATE KEY-----" if footer else body
+
+
+def test_private_keys_are_owned_by_their_bodies(spark):
+    """Nine keys of nine sources under the same header stay live; one key of nine sources does not."""
+    armoured = pem(99, "").replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n", 1)
+    own = [pem(k) for k in range(9)] + [pem(50, footer=False), armoured]
+    shared = pem(77)
+    rows = [(k, f"mine {x} end", f"s{k}") for k, x in enumerate(own)]
+    rows += [(100 + k, f"see {shared if k % 2 else shared.replace(chr(10), chr(13) + chr(10))} {k}", f"s{k}") for k in range(9)]
+    rows += [(200, "a header -----BEGIN RSA PRIVATE KEY----- alone is no key", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(texts[k] == "mine [REDACTED] end" for k in range(len(own)))
+    assert all(texts[i] == text for i, text, _ in rows if i >= 100)
+    live = {r["doc_id"]: r["n_live"] for r in secrets.scan(docs).collect()}
+    assert all(live[k] >= 1 for k in range(len(own))) and live[200] == 0
