@@ -201,3 +201,138 @@ def a10(t):
     level = F.when(F.col("event_type") == "error", 1).otherwise(2)
     members = t.events.select(F.col("user_id").alias("id"), F.col("event_id").alias("member"), level.alias("level"))
     return R.capped(members, 30)
+
+
+# The same at the reference's depth: a first round and four more, or three more where facts, caps or snapshots
+# are concerned.  Where every vertex meets nearly every other, rows are summed up per vertex for the comparison.
+DEEP, DEEP_FACTS = 5, 4
+
+
+def per_level(found):
+    return found.groupBy("id", "level").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("member").alias("member_sum"), F.max("member").alias("farthest")
+    )
+
+
+PER_LEVEL_SQL = """select id, level, count(*) as members, sum(member)::bigint as member_sum, max(member) as farthest
+    from {table} group by id, level"""
+
+
+@query(
+    "g17_reach_set_deep",
+    with_graph(reach_sql(DEEP) + """select id, count(*) as members, sum(member)::bigint as member_sum,
+        min(member) as least, max(member) as greatest from r group by id"""),
+)
+def g17_deep(t):
+    members = R.reach(link_graph(t), DEEP).groupBy("id")
+    return members.agg(
+        F.count(F.lit(1)).alias("members"),
+        F.sum("member").alias("member_sum"),
+        F.min("member").alias("least"),
+        F.max("member").alias("greatest"),
+    )
+
+
+@query("g18_reach_levels_deep", with_graph(reach_sql(DEEP) + PER_LEVEL_SQL.format(table="r")))
+def g18_deep(t):
+    return per_level(R.reach(link_graph(t), DEEP))
+
+
+@query(
+    "g19_bidirectional_reach_deep",
+    with_graph(reach_sql(DEEP) + reach_sql(DEEP, "b", "dst", "src") + """, both_ways as (
+        select id, member, min(level) as level from (select * from r union all select * from b) group by id, member) """
+        + PER_LEVEL_SQL.format(table="both_ways")),
+)
+def g19_deep(t):
+    return per_level(R.reach_both(link_graph(t), DEEP))
+
+
+@query(
+    "g20_edge_facts_deep",
+    with_graph(fact_sql(DEEP_FACTS) + """select id, level, count(*) as facts,
+        sum(split_part(fact, ':', 3)::bigint)::bigint as order_sum, min(fact) as least, max(fact) as greatest
+        from reached group by id, level"""),
+)
+def g20_deep(t):
+    return (
+        R.edge_facts(fact_graph(t), DEEP_FACTS)
+        .groupBy("id", "level")
+        .agg(
+            F.count(F.lit(1)).alias("facts"),
+            F.sum(F.split_part("fact", F.lit(":"), F.lit(3)).cast("long")).alias("order_sum"),
+            F.min("fact").alias("least"),
+            F.max("fact").alias("greatest"),
+        )
+    )
+
+
+@query(
+    "g21_capped_reach_deep",
+    with_graph(reach_sql(DEEP_FACTS) + CAP_SQL.format(member="member", table="r", cap=30)),
+)
+def g21_deep(t):
+    return R.capped(R.reach(link_graph(t), DEEP_FACTS), 30)
+
+
+@query(
+    "g21_capped_facts_deep",
+    with_graph(fact_sql(DEEP_FACTS) + CAP_SQL.format(member="fact", table="reached", cap=100)),
+)
+def g21_facts_deep(t):
+    return R.capped(R.edge_facts(fact_graph(t), DEEP_FACTS), 100, member="fact")
+
+
+@query(
+    "g22_members_and_facts_deep",
+    with_graph(fact_sql(DEEP_FACTS) + """, onward as (
+          select id, member, min(level) as level from (
+            select id, member, level from r
+            union all
+            select r.id, e.dst as member, r.level + 1 from r join edges e on e.src = r.member)
+          group by id, member),
+        mixed as (select id, member::varchar as member, level from onward union all select id, fact, level from reached)
+        select id, level, count(*) as entries, sum(length(member))::bigint as letters, min(member) as least,
+          max(member) as greatest from mixed group by id, level"""),
+)
+def g22_deep(t):
+    found = R.members_and_facts(fact_graph(t), DEEP_FACTS)
+    return found.groupBy("id", "level").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum(F.length("member")).alias("letters"),
+        F.min("member").alias("least"),
+        F.max("member").alias("greatest"),
+    )
+
+
+@query(
+    "g26_reach_with_attributes_deep",
+    with_graph(reach_sql(DEEP) + """select r.id, k.role, r.level, count(*) as members,
+        sum(round(k.age * 100)::bigint)::bigint as cents, min(k.name) as least, max(k.name) as greatest
+        from r join known k on k.id = r.member group by r.id, k.role, r.level"""),
+)
+def g26_deep(t):
+    bean = known_accounts(t).select(F.col("id").alias("member"), F.struct("name", "role", "age").alias("bean"))
+    found = R.reach(link_graph(t), DEEP).join(bean, "member").select("id", "level", "bean.*")
+    return found.groupBy("id", "role", "level").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.sum(F.round(F.col("age") * 100).cast("long")).alias("cents"),
+        F.min("name").alias("least"),
+        F.max("name").alias("greatest"),
+    )
+
+
+@query(
+    "g27_hop_snapshots_deep",
+    with_graph(reach_sql(DEEP_FACTS) + "select level, count(*) as pairs, count(distinct id) as sources from r group by level"),
+)
+def g27_deep(t):
+    per_source = R.reach(link_graph(t), DEEP_FACTS).groupBy("level", "id").agg(F.count(F.lit(1)).alias("n"))
+    return per_source.groupBy("level").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("sources"))
+
+
+@query("k2_snapshot_per_hop_deep", with_graph(reach_sql(DEEP_FACTS) + "select level, count(*) as n from r group by level"))
+def k2_deep(t):
+    path = scratch_path(t.spark, "snapshots")
+    R.reach(link_graph(t), DEEP_FACTS, path=path)
+    return t.spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
