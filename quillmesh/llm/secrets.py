@@ -3,9 +3,9 @@
 Candidates are cut out of every text by regular expressions; split and
 extract run the same engine, so the lengths of the gaps and hits give exact
 code-point offsets.  The hash of each candidate value is then counted over the
-whole corpus by distinct owners (``source``) and repositories (``doc_id``): a value that many
-owners carry is an example people copy around, one that few owners carry and
-that looks random is taken for live.
+whole corpus by distinct owners (``source``) and repositories (different texts of an owner, so that
+copies of one text count once): a value that many owners or many repositories carry is an example
+people copy around, one that few carry and that looks random is taken for live.
 
 Texts are read once and never shuffled; what moves is one small row per hit.
 """
@@ -51,6 +51,7 @@ ALL_KINDS = KINDS + ADDED
 _HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("AKIA",), "key": ("-----BEGIN", "gh", "xox", "eyJ", "AIza")}
 
 MAX_OWNERS = 4
+MAX_REPOSITORIES = 16
 REDACTION = "[REDACTED]"
 
 
@@ -132,24 +133,32 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owne
         (F.col("end") - F.col("len")).alias("start"),
         "end",
         F.xxhash64("value").alias("value_hash"),
-        (F.size(F.array_distinct(F.split("value", ""))) >= 8).alias("random_looking"),
+        _looks_random(F.col("value"), F.col("kind_no")).alias("random_looking"),
     )
 
 
+def _looks_random(value: Column, kind_no: Column) -> Column:
+    """Eight different characters; a shorter assigned value when it mixes kinds of characters and hardly repeats any."""
+    different = F.size(F.array_distinct(F.split(value, "")))
+    mixed = sum(value.rlike(kind).cast("int") for kind in ("[a-z]", "[A-Z]", "[0-9]", "[+/_.=-]"))
+    short = (kind_no == 0) & (mixed >= 2) & (4 * different >= 3 * F.length(value))
+    return (different >= 8) | short
+
+
 def ownership(hits: DataFrame) -> DataFrame:
     """``value_hash, n_owners, n_repositories``: two steps, so that a hot value is combined before it is shuffled."""
-    per_doc = hits.groupBy("value_hash", "owner", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    per_owner = per_doc.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    per_text = hits.groupBy("value_hash", "owner", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    per_owner = per_text.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     return per_owner.groupBy("value_hash").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories")
     )
 
 
 def judged(hits: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Hits with ``n_owners, n_repositories, live``."""
-    return hits.join(ownership(hits), "value_hash").withColumn(
-        "live", (F.col("n_owners") <= max_owners) & F.col("random_looking")
-    )
+    """Hits with ``n_owners, n_repositories, copied, live``."""
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > MAX_REPOSITORIES)
+    known = hits.join(ownership(hits), "value_hash").withColumn("copied", copied)
+    return known.withColumn("live", ~F.col("copied") & F.col("random_looking"))
 
 
 def _joined(spans: Column) -> Column:
@@ -174,7 +183,7 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
             F.sort_array(F.collect_list(F.when(base, span))).alias("base"),
             F.sort_array(F.collect_list(span)).alias("all"),
             F.count_if("live").alias("n_live"),
-            F.count_if(F.col("n_owners") > max_owners).alias("n_copied"),
+            F.count_if("copied").alias("n_copied"),
         )
     )
     counts = [*[f"n_{k[0]}" for k in KINDS], "n_live", "n_copied"]

@@ -76,3 +76,20 @@ def test_private_keys_are_owned_by_their_bodies(spark):
     assert all(texts[i] == text for i, text, _ in rows if i >= 100)
     live = {r["doc_id"]: r["n_live"] for r in secrets.scan(docs).collect()}
     assert all(live[k] >= 1 for k in range(len(own))) and live[200] == 0
+
+
+def test_repositories_and_short_passwords_count(spark):
+    """An example in many texts of one source stays; copies of one text do not make an example; short passwords go."""
+    example, copied = "token=aB3dE6gH9jK2", "token=zY8xW5vU2tS9"
+    rows = [(k, f"text {k} with {example} inside", "hot") for k in range(40)]
+    rows += [(100 + k, f"the same text with {copied} inside", "hot") for k in range(40)]
+    rows += [(200, "password=hunt3r2 x", "a"), (201, "password=letter x", "a"), (202, "password=a1a1a1a1 x", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(texts[k] == rows[k][1] for k in range(40))
+    assert all(texts[100 + k] == "the same text with [REDACTED] inside" for k in range(40))
+    assert (texts[200], texts[201], texts[202]) == ("[REDACTED] x", "password=letter x", "password=a1a1a1a1 x")
+    counts = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secrets.scan(docs).collect()}
+    assert (counts[0], counts[100], counts[200], counts[201]) == ((0, 1), (1, 0), (1, 0), (0, 0))
+    held = secrets.judged(secrets.candidates(docs)[1]).filter("doc_id in (0, 100)").collect()
+    assert {r["doc_id"]: (r["n_owners"], r["n_repositories"]) for r in held} == {0: (1, 40), 100: (1, 1)}
