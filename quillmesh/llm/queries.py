@@ -1,4 +1,4 @@
-"""The named queries of the ten operators: thin applications with production parameters to whole tables."""
+"""The named queries of the operators: thin applications with production parameters to whole tables."""
 
 from __future__ import annotations
 
@@ -15,10 +15,13 @@ from quillmesh.llm import (
     jaccard_tree,
     language_id,
     licenses,
+    periodic_runs,
     preference,
     quality_rules,
+    rank_queue,
     secrets,
     token_counts,
+    whitening,
 )
 from quillmesh.llm.oracles import ORACLES
 from quillmesh.plans.registry import Tables
@@ -90,6 +93,40 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def with_planted_repetitions(docs: DataFrame) -> DataFrame:
+    """One document of ten, by its id, repeats a stretch of its own words to its end; the others stay as they are."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(number / 10), F.col("__n")
+    chosen = docs.withColumn("__words", F.when(number % 10 == 0, words)).withColumn("__n", F.size("__words").cast("long"))
+    start = (g % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    rest = (n - start).cast("int")
+    times = F.ceil(rest / period).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("__words", start + 1, period), times)), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("__words", F.lit(1), start), repeated), " ")
+    return chosen.withColumn("text", F.when(n > 0, planted).otherwise(F.col("text"))).drop("__words", "__n")
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = Tables(spark, folder).documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return periodic_runs.digests(periodic_runs.find(with_planted_repetitions(docs)))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = whitening.grid(Tables(spark, folder).embeddings.select("vec_id", "embedding"), "embedding", 1024, 100_000)
+    return whitening.whiten(vectors, whitening.fit(vectors), ("vec_id",))
+
+
+def op13_byte_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = rank_queue.encode(Tables(spark, folder).documents, file)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = encoded.select("doc_id", "n_tokens", "ids", F.sha2(digits, 256).alias("ids_sha256"))
+    decoded = rank_queue.decode(digests, file)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jaccard_link_counts,
         op9_license_scans,
         op10_language_id,
+        op11_periodic_runs,
+        op12_embedding_whitening,
+        op13_byte_bpe_round_trip,
     )
 }
 
