@@ -20,13 +20,17 @@ from __future__ import annotations
 import base64
 import math
 import re
+import sys
+import unicodedata
 from functools import lru_cache
+from itertools import count, groupby
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +55,34 @@ PLAIN_PIECES = re.compile(
 )
 
 
+@lru_cache(maxsize=1)
+def newer_characters() -> dict[str, str]:
+    """Letters and numbers of the ``regex`` module's Unicode tables that those of tiktoken do not know, as sets.
+
+    Only characters that Python's own tables leave unassigned can differ; the
+    library is asked about each of them.
+    """
+    octets = {bytes([b]): b for b in range(256)}
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    found = {}
+    for kind in ("\\p{L}", "\\p{N}"):
+        asked = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=octets | {b"aa": 256}, special_tokens={})
+        newer = (c for c in regex.findall(kind, every) if unicodedata.category(c) == "Cn")
+        unknown = [ord(c) for c in newer if not asked.encode_ordinary(c)]
+        runs = [list(g) for _, g in groupby(unknown, lambda c, n=count(): c - next(n))]
+        found[kind] = "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+    return found
+
+
+@lru_cache(maxsize=4)
+def as_library(pattern: str) -> regex.Pattern:
+    """The pattern with letters and numbers as tiktoken knows them."""
+    for kind, newer in newer_characters().items():
+        if newer:
+            pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
+    return regex.compile(pattern, regex.V1)
+
+
 class RankQueue:
     """Positions by rank; ``take`` returns the least rank and all its positions in order."""
 
@@ -102,7 +134,7 @@ class Ranks:
                 self.pairs[token[0] << 8 | token[1]] = rank
         self.queue = RankQueue(self.size)
         self.own = pattern is not None and pattern != public_tokenizers.PATTERN
-        self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
+        self.pattern = pattern or public_tokenizers.PATTERN
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
@@ -163,7 +195,7 @@ class Ranks:
     def _found(self, text: str, start: int, end: int) -> list[str]:
         if not self.own and PLAIN.search(text, start, end) is None:
             return PLAIN_PIECES.findall(text, start, end)
-        return self.pattern.findall(text, start, end)
+        return as_library(self.pattern).findall(text, start, end)
 
     def chunks(self, text: str):
         """Lists of pre-tokens, in order and together all of the text."""
