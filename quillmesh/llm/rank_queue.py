@@ -40,7 +40,7 @@ from quillmesh.llm.common import fresh_name, map_batches
 CHUNK = 1 << 18  # characters searched for pre-tokens at once
 GROUP = 1 << 20  # characters whose new pre-tokens share a queue
 MARGIN = 32  # a match that ends so far before the edge of a chunk is the same in the whole text
-CACHE_WORDS = 1 << 17  # in each of two generations
+CACHE_WORDS = 1 << 18  # in each of two generations, about 50 MB each
 CACHED_LENGTH = 48
 DECODE_IDS = 1 << 16
 APART = b"\xff"  # in no UTF-8 text, and in no token but its own
