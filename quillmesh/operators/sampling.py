@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scalars import hash_unit
+from quillmesh.operators.ordering import dense_index
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int) -> list[DataFrame]:
@@ -106,3 +107,17 @@ def seeded_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, se
         placed = chosen.select(F.posexplode("rows").alias("place", "row")).filter("row is not null")
         passes.append(placed.select((F.col("place") + first).alias("draw"), "row.*"))
     return reduce(DataFrame.unionByName, passes)
+
+
+def positioned_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 42) -> DataFrame:
+    """As ``seeded_draws``, by position: draw ``i`` takes the row whose number in the order of the key is a hash of seed + i.
+
+    Keys are unique and not null.  However many draws there are, the keys are
+    numbered once and the drawn positions joined once, and no row is hashed.
+    """
+    indexed = dense_index(df.select(key).filter(F.col(key).isNotNull()), [key], "__place")
+    rows = indexed.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    number = F.conv(F.substring(F.md5((F.col("id") + F.lit(seed)).cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    wanted = df.sparkSession.range(1, draws + 1).select(F.col("id").alias("draw"), (number % max(rows, 1)).alias("__place"))
+    keys = indexed.join(wanted, "__place").select("draw", key)
+    return df.select(key, *columns).join(keys, key).select("draw", key, *columns)

@@ -28,7 +28,7 @@ from quillmesh.operators import learning as L
 from quillmesh.operators import scaling as Z
 from quillmesh.operators import scoring as SC
 from quillmesh.operators.lookup import lookup_join
-from quillmesh.operators.sampling import hash_part, seeded_draws
+from quillmesh.operators.sampling import hash_part, positioned_draws, seeded_draws
 from quillmesh.plans.bindings import FEATURES, order_features, with_features
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational_queries import ratings
@@ -341,6 +341,64 @@ def m15(t):
     return scored.select("vec_id", F.round("margin", 5).alias("margin"), "prediction")
 
 
+# The headline job: 200 draws, by position.
+DRAWS = 200
+
+
+def kernel_model_200(t):
+    return K.train_kernel_svm(
+        embedding_points(t), "vec_id", "target", "embedding", DRAWS, REGULARISATION, "gaussian", True, draw=positioned_draws
+    )
+
+
+def positions_sql(draws: int, rows: str) -> str:
+    """(t, pos) of each draw over a table of ``rows`` rows."""
+    return f"""select t, ('0x' || substr(md5((t + 42)::varchar), 1, 15))::bigint % (select count(*) from {rows}) as pos
+        from range(1, {draws + 1}) as r(t)"""
+
+
+KERNEL_200_SQL = f"""with recursive
+  pts as materialized (select vec_id, row_number() over (order by vec_id) - 1 as pos,
+    case when label < 5 then 1.0::double else -1.0::double end as y, list_append(embedding::double[], 1.0::double) as x from embeddings),
+  drawn as materialized (select t, vec_id, y, x from ({positions_sql(DRAWS, 'embeddings')}) join pts using (pos)),
+  pulls as materialized (select a.t, list(case when a.vec_id = b.vec_id then 0.0::double
+      else b.y * exp(-0.5 * pow(list_distance(a.x, b.x), 2)) end order by b.t) as v
+    from drawn a join drawn b on b.t < a.t group by a.t),
+  steps(t, alpha) as (
+    select 1::bigint, [1.0::double]
+    union all
+    select s.t + 1, list_append(alpha, case when list_inner_product(alpha, v) * y / ({REGULARISATION}::double * (s.t + 1)) < 1
+      then 1.0::double else 0.0::double end)
+    from steps s join pulls on pulls.t = s.t + 1 join drawn d on d.t = s.t + 1),
+  sv as (select vec_id as key, any_value(y) as y, any_value(x) as x, sum(alpha) as alpha from (
+      select d.*, (select alpha from steps where steps.t = {DRAWS})[d.t] as alpha from drawn d) group by vec_id having sum(alpha) > 0)
+"""
+
+
+@query("m14_kernel_svm_200_draws", KERNEL_200_SQL + " select key, y, alpha from sv")
+def m14_200(t):
+    return kernel_model_200(t).support_table(t.spark)
+
+
+@query(
+    "m15_kernel_svm_200_scoring",
+    KERNEL_200_SQL + f""", scored as (select p.vec_id,
+          sum(s.alpha * s.y * exp(-0.5 * pow(list_distance(p.x, s.x), 2))) / ({REGULARISATION}::double * {DRAWS}) as margin
+          from pts p, sv s group by p.vec_id)
+        select vec_id, round(margin, 5) as margin, case when margin > 0 then 1.0::double else 0.0::double end as prediction
+        from scored""",
+)
+def m15_200(t):
+    scored = K.score_kernel_svm(embedding_points(t), kernel_model_200(t), "embedding")
+    return scored.select("vec_id", F.round("margin", 5).alias("margin"), "prediction")
+
+
+@query("b7_positioned_draws", f"select t as draw, vec_id, label from ({positions_sql(DRAWS, 'embeddings')}) join (select *, row_number() over (order by vec_id) - 1 as pos from embeddings) using (pos)")
+def b7_positioned(t):
+    """200 draws from one numbering of the keys."""
+    return positioned_draws(t.embeddings, "vec_id", ["label"], draws=DRAWS)
+
+
 @query(
     "j10_pairs_with_small_set",
     "with drawn as ("
