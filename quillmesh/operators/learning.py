@@ -7,7 +7,7 @@ features, times the clusters) and run one distributed aggregate per round.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -105,11 +105,27 @@ def with_scores(df: DataFrame, features: Sequence[str], weights: Sequence[float]
     return scored.withColumn("prediction", (F.col("score") > threshold).cast("double"))
 
 
-def as_vectors(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
-    """Add a pyspark.ml vector of the named columns."""
-    return df.withColumn(name, array_to_vector(F.array(*[F.col(c).cast("double") for c in features])))
+def slot_metadata(features: Sequence[str], arities: Mapping[str, int]) -> dict:
+    """Attribute metadata of a vector: slots named in ``arities`` hold category numbers 0..arity-1, the others measures.
+
+    Trees split the former by sets of categories, whatever their order.
+    """
+    nominal = [{"idx": i, "name": c, "num_vals": int(arities[c])} for i, c in enumerate(features) if c in arities]
+    numeric = [{"idx": i, "name": c} for i, c in enumerate(features) if c not in arities]
+    kinds = {"nominal": nominal, "numeric": numeric}
+    return {"ml_attr": {"attrs": {k: v for k, v in kinds.items() if v}, "num_attrs": len(features)}}
+
+
+def as_vectors(
+    df: DataFrame, features: Sequence[str], name: str = "features", arities: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Add a pyspark.ml vector of the named columns; ``arities`` names the categorical ones and their number of values."""
+    vectors = df.withColumn(name, array_to_vector(F.array(*[F.col(c).cast("double") for c in features])))
+    return vectors.withMetadata(name, slot_metadata(features, arities)) if arities else vectors
 
 
-def training_table(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
+def training_table(
+    df: DataFrame, features: Sequence[str], name: str = "features", arities: Mapping[str, int] | None = None
+) -> DataFrame:
     """The same, written once: solvers pass over their input many times."""
-    return materialise(as_vectors(df, features, name), "training")
+    return materialise(as_vectors(df, features, name, arities), "training")

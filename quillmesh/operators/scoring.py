@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -22,11 +22,13 @@ def train_forest(
     depth: int = 5,
     bins: int = 32,
     seed: int = 7,
+    arities: Mapping[str, int] | None = None,
 ) -> Model:
+    """A forest by gini impurity; ``arities`` names categorical features and their number of values (at most ``bins``)."""
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, maxBins=bins, impurity="gini", seed=seed
     )
-    return forest.fit(training_table(df.select(label, *features), features))
+    return forest.fit(training_table(df.select(label, *features), features, arities=arities))
 
 
 def score(df: DataFrame, model: Model, features: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from quillmesh.plans.registry import REGISTRY
 MODULES = (
     "streaming_queries",
     "learning_queries",
+    "tree_queries",
     "source_queries",
     "sampling_queries",
     "relational_queries",
