@@ -245,3 +245,31 @@ def k7(t):
     parts = F.split(F.trim("value"), " ")
     lines = RD.read_lines(t.spark, path).select(parts[0].cast("double").alias("label"), (F.size(parts) - 1).alias("k"))
     return lines.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("entries"))
+
+
+REJECTS = {
+    "edges": (RD.edge_fields, "concat_ws(' ', if(o_orderkey % 7 = 0, 'x', '') || o_custkey, if(o_orderkey % 11 = 0, null, o_orderkey))", "o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0"),
+    "vertices": (RD.vertex_fields, "concat_ws(',', if(o_orderkey % 5 = 0, 'n/a', cast(o_custkey as string)), o_orderpriority, '')", "o_orderkey % 5 <> 0"),
+    "facts": (RD.fact_fields, "concat_ws(char(1), o_custkey, o_orderkey, o_orderstatus, 'a', 'b', if(o_orderkey % 3 = 0, null, o_orderpriority))", "o_orderkey % 3 <> 0"),
+    "dictionary": (RD.dictionary_fields, "concat_ws(',', if(o_orderkey % 4 = 0, '', cast(o_custkey as string)), o_orderpriority)", "o_orderkey % 4 <> 0"),
+}
+
+
+@query(
+    "s9_reader_rejects",
+    " union all ".join(
+        f"""select '{name}' as reader, count(*) as lines, count(*) filter ({good}) as good, count(*) filter (not ({good})) as rejected,
+              count(*) filter ({good}) as rows_kept, count(*) filter (not ({good})) as lines_kept from orders"""
+        for name, (_, _, good) in REJECTS.items()
+    ),
+)
+def s9_rejects(t):
+    """Edges, vertices, facts and dictionary lines with bad ones among them: every line is a row or a reject."""
+    rows = []
+    for name, (fields, line, _) in REJECTS.items():
+        path = scratch_path(t.spark, "lines")
+        t.orders.select(F.expr(line).alias("value")).write.text(path)
+        lines = RD.read_lines(t.spark, path)
+        loaded = RD.load_checked(lines, *fields())
+        rows.append((name, lines.count(), loaded.n_good, loaded.n_rejected, loaded.good.count(), loaded.rejects.count()))
+    return t.spark.createDataFrame(rows, "reader string, lines bigint, good bigint, rejected bigint, rows_kept bigint, lines_kept bigint")

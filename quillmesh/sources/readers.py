@@ -6,9 +6,14 @@ expressions, so nothing is inferred by an extra pass over the files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.session import scratch_path
+
 CTRL_A = "\u0001"
 
 
@@ -103,3 +108,65 @@ def dictionary_from_lines(lines: DataFrame) -> DataFrame:
     """(name, code) from lines ``code,name``, the way a lookup file is kept."""
     parts = F.split(F.trim("value"), ",", 2)
     return lines.select(parts[1].alias("name"), parts[0].try_cast("double").alias("code")).filter("code is not null")
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """What one reading of a file gave: rows, the lines that are none, and how many of both."""
+
+    good: DataFrame
+    rejects: DataFrame  # value: the line as it was
+    n_good: int
+    n_rejected: int
+
+
+def load_checked(lines: DataFrame, fields: Mapping[str, Column], required: Sequence[str]) -> Loaded:
+    """Parse lines once into rows and rejects, both written below the scratch folder.
+
+    ``fields`` are expressions over ``value``; a line in which one of
+    ``required`` is null is a reject.  The counts are observed by the same pass.
+    """
+    spark = lines.sparkSession
+    whole = F.lit(True)
+    for name in required:
+        whole = whole & fields[name].isNotNull()
+    row = F.when(whole, F.struct(*[c.alias(n) for n, c in fields.items()]))
+    parsed = lines.select(row.alias("row"), F.when(~whole, F.col("value")).alias("value"), (~whole).alias("rejected"))
+    seen = Observation()
+    counted = parsed.observe(
+        seen, F.count_if(~F.col("rejected")).alias("good"), F.count_if(F.col("rejected")).alias("rejected")
+    )
+    path = scratch_path(spark, "loaded")
+    counted.write.partitionBy("rejected").parquet(path)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parsed.schema.fields if f.name != "rejected")
+    saved = spark.read.schema(f"{kind}, rejected boolean").parquet(path)
+    good = saved.filter("not rejected").select("row.*")
+    return Loaded(good, saved.filter("rejected").select("value"), seen.get["good"], seen.get["rejected"])
+
+
+def edge_fields(sep: str = " ") -> tuple[dict[str, Column], list[str]]:
+    """``src dst``"""
+    parts = F.split(F.trim("value"), sep, -1)
+    ends = {n: F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i, n in enumerate(("src", "dst"), 1)}
+    return ends, ["src", "dst"]
+
+
+def vertex_fields() -> tuple[dict[str, Column], list[str]]:
+    """``id,attr,attr,...``"""
+    parts = F.split("value", ",", -1)
+    return {"id": parts[0].try_cast("bigint"), "attrs": F.slice(parts, F.lit(2), F.size(parts) - 1)}, ["id"]
+
+
+def fact_fields(sep: str = CTRL_A) -> tuple[dict[str, Column], list[str]]:
+    """Ends and one fact text of six fields, as in ``fact_edges``."""
+    parts = F.split("value", sep, -1)
+    ends, required = edge_fields(sep)
+    tail = F.translate(F.try_element_at(parts, F.lit(6)), " ", "^")
+    fact = F.when(F.size(parts) >= 6, F.concat_ws(":", F.array_join(F.slice(parts, 1, 5), ":"), tail))
+    return ends | {"fact": fact}, [*required, "fact"]
+
+
+def dictionary_fields() -> tuple[dict[str, Column], list[str]]:
+    """``code,name``"""
+    parts = F.split(F.trim("value"), ",", 2)
+    return {"name": F.try_element_at(parts, F.lit(2)), "code": parts[0].try_cast("double")}, ["name", "code"]
