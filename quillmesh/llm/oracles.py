@@ -35,35 +35,43 @@ from judged"""
 
 def _secrets() -> str:
     found = []
-    for no, (kind, pattern, group, least) in enumerate(secrets.ALL_KINDS):
+    for no, (kind, pattern, group, least) in enumerate(secrets.PLAIN_KINDS):
         p = pattern.replace("'", "''")
         found.append(f"""
-  select rid, owner, doc_id, {no} as kind_no, '{kind}' as kind, {least} as least, string_split_regex(t, '{p}') as gaps,
+  select rid, owner, md5(t) as text_key, doc_id, {no} as kind_no, '{kind}' as kind, {least} as least, string_split_regex(t, '{p}') as gaps,
          regexp_extract_all(t, '{p}') as hits, regexp_extract_all(t, '{p}', {group}) as vals
   from d where regexp_matches(t, '{p}')""")
     base = f"kind_no < {len(secrets.KINDS)}"
+    around = secrets._AROUND_KEY
     return f"""
 with d as ({_ROWS}),
 raw as ({" union all ".join(found)}),
 each as (select *, unnest(range(1, len(hits) + 1)) as i from raw),
 hit as (
-  select rid, owner, doc_id, kind_no, kind, vals[i] as value, length(hits[i]) as len,
+  select rid, owner, text_key, doc_id, kind_no, kind, length(hits[i]) as len,
+         case when starts_with(vals[i], '-----BEGIN') then regexp_replace(vals[i], '{around}', '', 'g') else vals[i] end as value,
          length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) as start
   from each where length(vals[i]) >= least),
-owned as (select value, count(distinct owner) as n_owners from hit group by value),
-judged as (
-  select *, start + len as stop, n_owners <= {secrets.MAX_OWNERS} and len(list_distinct(string_split(value, ''))) >= 8 as live
+owned as (select value, count(distinct owner) as n_owners, count(distinct (owner, text_key)) as n_repositories from hit group by value),
+looked as (
+  select *, start + len as stop, n_owners > {secrets.MAX_OWNERS} or n_repositories > {secrets.MAX_REPOSITORIES} as copied,
+         len(list_distinct(string_split(value, ''))) as different,
+         regexp_matches(value, '[a-z]')::int + regexp_matches(value, '[A-Z]')::int + regexp_matches(value, '[0-9]')::int
+           + regexp_matches(value, '[+/_.=-]')::int as mixed
   from hit join owned using (value)),
+judged as (
+  select *, not copied and (different >= 8 or (kind_no = 0 and mixed >= 2 and 4 * different >= 3 * length(value))) as live from looked),
 per_row as (
   select rid, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access,
          count(*) filter (kind_no = 2) as n_hex,
          string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no) filter ({base}) as base,
          string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no) as spans,
-         count(*) filter (live) as n_live, count(*) filter (n_owners > {secrets.MAX_OWNERS}) as n_copied
+         count(*) filter (live) as n_live, count(*) filter (copied) as n_copied,
+         max(n_owners) as most_owners, max(n_repositories) as most_repositories
   from judged where {base} or live group by rid)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live,
-       coalesce(n_copied, 0) as n_copied
+       coalesce(n_copied, 0) as n_copied, coalesce(most_owners, 0) as most_owners, coalesce(most_repositories, 0) as most_repositories
 from d left join per_row using (rid)"""
 
 

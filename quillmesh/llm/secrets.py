@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import fresh_name
 from quillmesh.session import materialise
 
 # Kinds in their fixed order, each with its pattern, the group
@@ -27,28 +28,39 @@ KINDS = (
 # A private key is its whole block: header, body without five hyphens in a row, footer.  Where the footer is
 # missing the lines of base64 after the header are taken; a header alone is a mention, not a key.
 _BLANK = "(?:\\\\[nr]|[\\x20\\x09-\\x0D])"
-_PRIVATE_KEY = (
-    "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
-    f"|(?:{_BLANK}*(?:Proc-Type|DEK-Info):[^\\x0A]*){{0,2}}(?:{_BLANK}*[A-Za-z0-9+/=]{{16,}})+"
-    f"(?:{_BLANK}+[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
-)
+
+
+def _private_key(once: str) -> str:
+    """``once`` is "+" for possessive repetition, which Java's engine runs as a loop: a key of any length needs no stack.
+
+    No repetition here ever has to give anything back, so without the marks an
+    engine that knows none, as DuckDB's, matches the same.
+    """
+    return (
+        f"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*{once}(?:-{{1,4}}{once}[^-]+{once})*{once}-----END [A-Z ]*PRIVATE KEY-----"
+        f"|(?:{_BLANK}*{once}(?:Proc-Type|DEK-Info):[^\\x0A\\\\]*{once})*{once}(?:{_BLANK}*{once}[A-Za-z0-9+/=]{{16,}}{once})+{once}"
+        f"(?:{_BLANK}+{once}[A-Za-z0-9+/]{{1,15}}{once}={{1,2}})?)"
+    )
+
+
 # What the hash of a block leaves out: all keys of a type share it, or it depends on how the text is laid out.
 _AROUND_KEY = f"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|{_BLANK}"
 
 # Kinds that the ownership method adds; their spans count only when owner-specific.
-ADDED = (
-    (
-        "key",
-        _PRIVATE_KEY + "|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
-        "|eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+|AIza[A-Za-z0-9_-]{35}",
-        0,
-        1,
-    ),
+def _added(once: str) -> tuple:
+    return ("key", _private_key(once) + _TOKENS, 0, 1)
+
+
+_TOKENS = (
+    "|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    "|eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+|AIza[A-Za-z0-9_-]{35}"
 )
+ADDED = (_added("+"),)
 ALL_KINDS = KINDS + ADDED
+PLAIN_KINDS = (*KINDS, _added(""))  # the same for engines without possessive repetition
 
 # Cheap substring tests; a text that passes none cannot hold a hit of that kind.
-_HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("AKIA",), "key": ("-----BEGIN", "gh", "xox", "eyJ", "AIza")}
+_HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("AKIA",), "key": ("-----BEGIN", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ", "AIza")}
 
 MAX_OWNERS = 4
 MAX_REPOSITORIES = 16
@@ -154,9 +166,13 @@ def ownership(hits: DataFrame) -> DataFrame:
     )
 
 
-def judged(hits: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Hits with ``n_owners, n_repositories, copied, live``."""
-    copied = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > MAX_REPOSITORIES)
+def judged(hits: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """Hits with ``n_owners, n_repositories, copied, live``.
+
+    A value is copied when more than ``max_owners`` owners or more than
+    ``max_repositories`` repositories hold it; one that is not and looks random is live.
+    """
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)
     known = hits.join(ownership(hits), "value_hash").withColumn("copied", copied)
     return known.withColumn("live", ~F.col("copied") & F.col("random_looking"))
 
@@ -165,14 +181,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: counts per kind, spans, and how many values look live or copied.
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per document: counts per kind, spans, how many values look live or copied, and the most owners
+    and repositories that any of its values has.
 
     ``spans`` holds the base spans and the owner-specific spans of the added
     kinds, by start and then kind, as ``kind:start:end`` with commas.
     """
     rows, hits = candidates(docs)
-    hits = judged(materialise(hits, "secret-hits"), max_owners)
+    hits = judged(materialise(hits, "secret-hits"), max_owners, max_repositories)
     base = F.col("kind_no") < len(KINDS)
     span = F.struct("start", "kind_no", "end", "kind")
     per_row = (
@@ -184,9 +201,11 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
             F.sort_array(F.collect_list(span)).alias("all"),
             F.count_if("live").alias("n_live"),
             F.count_if("copied").alias("n_copied"),
+            F.max("n_owners").alias("most_owners"),
+            F.max("n_repositories").alias("most_repositories"),
         )
     )
-    counts = [*[f"n_{k[0]}" for k in KINDS], "n_live", "n_copied"]
+    counts = [*[f"n_{k[0]}" for k in KINDS], "n_live", "n_copied", "most_owners", "most_repositories"]
     none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")
     return rows.join(per_row, "row_id", "left").select(
         "doc_id",
@@ -197,34 +216,35 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Replace live-looking secrets in ``text`` (and refresh ``n_chars`` where there is one).
 
     Widely copied examples stay.  Texts that cannot hold a secret pass through
     untouched and unshuffled; the others meet their spans by text, so equal
-    texts are treated alike.
+    texts are treated alike.  All other columns stay, whatever their names.
     """
+    key, cuts_name, end_name = (fresh_name(docs, n) for n in ("__text_key", "__cuts", "__tail"))
     _, hits = candidates(docs)
-    live = judged(materialise(hits, "secret-hits"), max_owners).filter("live")
-    live = live.groupBy("text_key", "start", "end").agg(F.count(F.lit(1)).alias("__n"))
+    live = judged(materialise(hits, "secret-hits"), max_owners, max_repositories).filter("live")
+    live = live.groupBy("text_key", "start", "end").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("text_key").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ordered = live.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
-    cuts = ordered.groupBy(F.col("text_key").alias("__text_key")).agg(
+    cuts = ordered.groupBy(F.col("text_key").alias(key)).agg(
         F.sort_array(
             F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("start", "from")))
-        ).alias("__cuts"),
-        F.max("end").alias("__tail"),
+        ).alias(cuts_name),
+        F.max("end").alias(end_name),
     )
     suspect = may_hold_secrets()
     pieces = F.transform(
-        "__cuts",
+        cuts_name,
         lambda c: F.substring(F.col("text"), (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")),
     )
-    tail = F.substring(F.col("text"), (F.col("__tail") + 1).cast("int"), F.length("text"))
+    tail = F.substring(F.col("text"), (F.col(end_name) + 1).cast("int"), F.length("text"))
     clean = F.array_join(F.concat(pieces, F.array(tail)), REDACTION)
-    columns = {c: F.col(c) for c in docs.columns}
-    columns["text"] = F.when(F.col("__tail").isNull(), F.col("text")).otherwise(clean)
-    changed = docs.filter(suspect).withColumn("__text_key", F.md5("text")).join(cuts, "__text_key", "left")
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    columns["text"] = F.when(F.col(end_name).isNull(), F.col("text")).otherwise(clean)
+    changed = docs.filter(suspect).withColumn(key, F.md5("text")).join(cuts, key, "left")
     rewritten = changed.select(*[c.alias(name) for name, c in columns.items()])
     if "n_chars" in docs.columns:
         rewritten = rewritten.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
