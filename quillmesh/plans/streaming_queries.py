@@ -11,6 +11,7 @@ from quillmesh.plans.relational_queries import WORDS_SQL
 from quillmesh.session import scratch_path
 from quillmesh.sources.writers import write_lines
 from quillmesh.streaming import jobs as ST
+from quillmesh.streaming import line_source as LS
 
 
 def table_stream(t, name, columns=None, files=4):
@@ -46,6 +47,23 @@ def t2(t):
     return ST.count_rows(ST.tokens(lines), ["token"])
 
 
+@query(
+    "t2_line_folder_restarts",
+    """select word as token, count(*) as n, 4::bigint as batches from (select unnest([event_type, 'user' || user_id::varchar]) as word from events)
+       group by word""",
+)
+def t2_line_folder(t):
+    """Lines through a source of its own, four times started again on its offsets as files are added."""
+    words = t.events.select("event_id", F.concat_ws(" ", "event_type", F.concat(F.lit("user"), "user_id")).alias("value"))
+    folder, job = scratch_path(t.spark, "lines"), scratch_path(t.spark, "job")
+    for part in range(4):
+        words.filter(F.col("event_id") % 4 == part).select("value").write.text(f"{folder}/{part:06d}")
+        lines = LS.line_stream(t.spark, folder)
+        table = ST.to_table(ST.tokens(lines), each=lambda b: b.groupBy("token").agg(F.count(F.lit(1)).alias("n")), folder=job)
+    batches = table.agg(F.count_distinct("batch").alias("batches"))
+    return table.groupBy("token").agg(F.sum("n").alias("n")).crossJoin(batches)
+
+
 @query("t3_streaming_word_count", WORDS_SQL)
 def t3(t):
     lines = table_stream(t, "documents", ["text"]).select(F.col("text").alias("value"))

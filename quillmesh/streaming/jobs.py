@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -89,7 +90,15 @@ def to_table(
         raise TimeoutError(f"the stream did not end in time; its results so far are in {folder}")
     fields = each(spark.createDataFrame([], stream.schema)).schema.fields
     described = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return spark.read.schema(f"{described}, batch int").parquet(path)
+    return _batches(spark, f"{described}, batch int", path)
+
+
+def _batches(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The tables of all batches, or an empty one where a stream has had none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def count_rows(stream: DataFrame, keys: Sequence[str], **options) -> DataFrame:
@@ -148,19 +157,26 @@ class OnlineRegression:
         self.path = path or scratch_path(spark, "regression")
 
     def update(self, batch: DataFrame, number: int) -> None:
-        """Sums of x xT and x y as two vectors, whatever the number of features."""
-        x = F.array(*[F.col(f).cast("double") for f in self.features])
-        rows = batch.select(x.alias("x"), F.col(self.label).cast("double").alias("y")).filter(
-            F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull())
-        )
-        outer = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
-        sums = rows.agg(
-            Summarizer.sum(array_to_vector(outer)).alias("xx"),
-            Summarizer.sum(array_to_vector(F.transform("x", lambda a: a * F.col("y")))).alias("xy"),
-        )
-        sums.select(vector_to_array("xx").alias("xx"), vector_to_array("xy").alias("xy")).write.mode("overwrite").parquet(
-            f"{self.path}/batch={number}"
-        )
+        """Sums of x xT and x y: one matrix product per Arrow batch, one row per task to add up."""
+        n = len(self.features)
+        columns = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*self.features, self.label])]
+        rows = batch.select(*columns).dropna()
+
+        def products(batches):
+            left, right = np.zeros((n, n)), np.zeros(n)
+            for part in batches:
+                cells = np.column_stack([c.to_numpy() for c in part.columns])
+                x, y = cells[:, :n], cells[:, n]
+                left += x.T @ x
+                right += x.T @ y
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v.ravel().tolist()], pa.list_(pa.float64())) for v in (left, right)], names=["xx", "xy"]
+            )
+
+        partial = rows.mapInArrow(products, "xx array<double>, xy array<double>")
+        sums = partial.agg(*[Summarizer.sum(array_to_vector(c)).alias(c) for c in ("xx", "xy")])
+        kept = sums.select(*[vector_to_array(c).alias(c) for c in ("xx", "xy")])
+        kept.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
     def train_on(self, stream: DataFrame, **options) -> OnlineRegression:
         if not run_batches(stream, self.update, **options):
@@ -169,16 +185,38 @@ class OnlineRegression:
 
     def weights(self) -> list[float]:
         """Least-squares weights; of collinear or constant features the solution of least norm."""
+        return self.known()[1]
+
+    def known(self) -> tuple[int, list[float]]:
+        """How many training batches have been seen, and the weights they give (0 before the first)."""
         n = len(self.features)
-        table = self.spark.read.schema("xx array<double>, xy array<double>, batch int").parquet(self.path)
+        table = _batches(self.spark, "xx array<double>, xy array<double>, batch int", self.path)
         table = table.filter(F.size("xx") == n * n)  # a batch without rows sums to nothing
-        sums = table.agg(*[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("xx", "xy")]).first()
+        sums = table.agg(
+            F.count(F.lit(1)).alias("batches"),
+            *[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("xx", "xy")],
+        ).first()
+        if not sums["batches"]:
+            return 0, [0.0] * n
         left = np.array(sums["xx"], dtype=float).reshape(n, n)
         right = np.array(sums["xy"], dtype=float)
         scale = np.sqrt(np.where(np.diag(left) > 0, np.diag(left), 1.0))
         full = np.linalg.matrix_rank(left / np.outer(scale, scale), hermitian=True) == n
         found = np.linalg.solve(left, right) if full else np.linalg.lstsq(left, right, rcond=None)[0]
-        return [float(w) for w in found]
+        return sums["batches"], [float(w) for w in found]
+
+    def predict_arriving(self, stream: DataFrame, **options) -> DataFrame:
+        """Predict a second stream while the first one trains: each of its batches takes the weights known when it arrives.
+
+        Returns its rows with ``prediction`` and ``version``, the number of training batches behind the weights.
+        """
+
+        def each(batch: DataFrame) -> DataFrame:
+            version, weights = self.known()
+            scored = batch.withColumn("prediction", linear_margin(self.features, weights))
+            return scored.withColumn("version", F.lit(version).cast("bigint"))
+
+        return to_table(stream, each=each, **options)
 
     def predict(self, table: DataFrame) -> DataFrame:
         """Add ``prediction`` under the weights known now; works on streams and tables."""
