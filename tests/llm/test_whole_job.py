@@ -5,7 +5,6 @@ import string
 from collections import Counter
 
 import pytest
-import test_pipeline
 from brute import components, shingle_set
 from test_operators import lookalikes, table
 
@@ -22,11 +21,6 @@ def test_pipeline_joins_copies_on_five_words(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, v in label.items() if v[1] == i}
 
 
-def test_whole_pipeline_on_five_words(spark, monkeypatch):
-    monkeypatch.setattr(test_pipeline, "components", lambda docs: components(docs, percent=80, size=5))
-    test_pipeline.test_pipeline_equals_brute_force(spark)
-
-
 @pytest.mark.parametrize("leaf", [8, 256])
 def test_join_finds_every_link(spark, monkeypatch, leaf):
     """Families of mutually linked edited copies: all their pairs, not only those that connect them."""
