@@ -125,6 +125,96 @@ def capped(table: DataFrame, cap: int, member: str = "member") -> DataFrame:
     return table.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= cap).drop("__rank")
 
 
+def _smallest(table: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """The ``most`` least values per key; Spark cuts the ranks before it shuffles, so a hub sends few rows."""
+    order = Window.partitionBy(key).orderBy(value)
+    return table.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def _open_owners(known: DataFrame, cap: int) -> DataFrame:
+    """(id, room): vertices that hold fewer than ``cap`` rows so far, and how many more they may take."""
+    counts = known.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") < cap).select("id", (F.lit(cap) - F.col("n")).alias("room"))
+
+
+def _taken(fresh: DataFrame, owners: DataFrame, member: str, cap: int) -> DataFrame:
+    """Of each vertex's new rows the least ones, as many as it has room for."""
+    order = Window.partitionBy("id").orderBy(member)
+    ranked = fresh.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= cap)
+    return ranked.join(owners, "id").filter(F.col("__rank") <= F.col("room")).select("id", member)
+
+
+def capped_reach(
+    graph: PropertyGraph, rounds: int, cap: int, direction: str = "out", chunk_rows: int = EDGE_CHUNK_ROWS, path: str | None = None
+) -> DataFrame:
+    """``capped(reach(...), cap)`` without the whole reach: a vertex that holds ``cap`` members searches no further.
+
+    ``cap`` counts the vertex itself and is 1 at least.
+    A vertex with room knows fewer than ``cap`` members, so of a member's
+    neighbours the 2 ``cap`` least hold all that it may still take: the loop
+    runs on a graph of bounded degree, with at most ``cap`` rows per vertex.
+    """
+    spark = graph.vertices.sparkSession
+    near, far = ("src", "dst") if direction == "out" else ("dst", "src")
+    pairs = graph.edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).filter("src <> dst").distinct()
+    index = EdgeIndex(_smallest(pairs, "src", "dst", 2 * cap), chunk_rows)
+    base = path or scratch_path(spark, "capped-reach")
+    schema = "id bigint, member bigint"
+    graph.vertices.select("id", F.col("id").alias("member")).write.parquet(f"{base}/level=1")
+    for hop in range(2, rounds + 2):
+        levels = [f"{base}/level={n}" for n in range(1, hop)]
+        known = spark.read.schema(schema).parquet(*levels)
+        owners = _open_owners(known, cap)
+        frontier = spark.read.schema(schema).parquet(levels[-1]).join(owners, "id", "left_semi")
+        found = index.follow(frontier, "member").select("id", F.col("dst").alias("member"))
+        _taken(_unseen(found, known), owners, "member", cap).write.parquet(f"{base}/level={hop}")
+        if spark.read.schema(schema).parquet(f"{base}/level={hop}").isEmpty():
+            break
+    return spark.read.schema(schema + ", level int").parquet(base)
+
+
+def capped_facts(
+    graph: PropertyGraph, rounds: int, cap: int, fact: str = "fact", direction: str = "out", chunk_rows: int = EDGE_CHUNK_ROWS
+) -> DataFrame:
+    """``capped(edge_facts(...), cap)`` without all facts: a vertex that holds ``cap`` facts searches no further.
+
+    Facts of a hop and the members of the next one are found in turn, both for
+    vertices with room only.
+    """
+    spark = graph.vertices.sparkSession
+    near, far = ("src", "dst") if direction == "out" else ("dst", "src")
+    told = graph.edges.select(F.col(near).alias("src"), F.col(fact).alias("fact")).distinct()
+    facts = EdgeIndex(_smallest(told, "src", "fact", 2 * cap), chunk_rows)
+    pairs = graph.edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).filter("src <> dst").distinct()
+    index = EdgeIndex(pairs, chunk_rows)
+    base, ends = scratch_path(spark, "capped-facts"), scratch_path(spark, "capped-ends")
+    held, members = "id bigint, fact string", "id bigint, member bigint"
+
+    def at(folder: str, schema: str, *levels: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{folder}/level={n}" for n in levels])
+
+    graph.vertices.select("id", F.col("id").alias("member")).write.parquet(f"{ends}/level=1")
+    everyone = graph.vertices.select("id", F.lit(cap).alias("room"))
+    for hop in range(1, rounds + 1):
+        if hop == 1:
+            owners, frontier = everyone, at(ends, members, 1)
+            fresh = facts.follow(frontier, "member").select("id", "fact")
+        else:
+            known = at(base, held, *range(2, hop + 1))
+            # a vertex without any fact has no edge to go on along
+            owners = _open_owners(known, cap)
+            frontier = at(ends, members, hop - 1).join(owners, "id", "left_semi")
+            found = index.follow(frontier, "member").select("id", F.col("dst").alias("member"))
+            _unseen(found, at(ends, members, *range(1, hop))).write.parquet(f"{ends}/level={hop}")
+            met = facts.follow(at(ends, members, hop), "member").select("id", "fact")
+            marked = met.withColumn("seen", F.lit(0)).unionByName(known.withColumn("seen", F.lit(1)))
+            fresh = marked.groupBy("id", "fact").agg(F.max("seen").alias("seen")).filter("seen = 0").drop("seen")
+        _taken(fresh, owners, "fact", cap).write.parquet(f"{base}/level={hop + 1}")
+        if at(base, held, hop + 1).isEmpty() and at(ends, members, hop).isEmpty():
+            break
+    return spark.read.schema(held + ", level int").parquet(base)
+
+
 def simple_paths(
     graph: PropertyGraph,
     max_edges: int,

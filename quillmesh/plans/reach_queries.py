@@ -85,12 +85,12 @@ CAP_SQL = """select id, {member}, level from (select *, row_number() over
 
 @query("g21_capped_reach", with_graph(reach_sql(2) + CAP_SQL.format(member="member", table="r", cap=30)))
 def g21(t):
-    return R.capped(R.reach(link_graph(t), 2), 30)
+    return R.capped_reach(link_graph(t), 2, 30)
 
 
 @query("g21_capped_facts", with_graph(fact_sql(2) + CAP_SQL.format(member="fact", table="reached", cap=100)))
 def g21_facts(t):
-    return R.capped(R.edge_facts(fact_graph(t), 2), 100, member="fact")
+    return R.capped_facts(fact_graph(t), 2, 100)
 
 
 @query(
@@ -272,7 +272,7 @@ def g20_deep(t):
     with_graph(reach_sql(DEEP_FACTS) + CAP_SQL.format(member="member", table="r", cap=30)),
 )
 def g21_deep(t):
-    return R.capped(R.reach(link_graph(t), DEEP_FACTS), 30)
+    return R.capped_reach(link_graph(t), DEEP_FACTS, 30)
 
 
 @query(
@@ -280,7 +280,7 @@ def g21_deep(t):
     with_graph(fact_sql(DEEP_FACTS) + CAP_SQL.format(member="fact", table="reached", cap=100)),
 )
 def g21_facts_deep(t):
-    return R.capped(R.edge_facts(fact_graph(t), DEEP_FACTS), 100, member="fact")
+    return R.capped_facts(fact_graph(t), DEEP_FACTS, 100)
 
 
 @query(
