@@ -46,6 +46,11 @@ def tokens(df: DataFrame, text: str, keep: Sequence[str] = (), pattern: str = r"
     return df.select(*keep, F.explode(F.split(text, pattern)).alias("token")).filter("token <> ''")
 
 
+def token_list(text: str, pattern: str = r"\s+") -> Column:
+    """Non-empty tokens of the whole text as one array."""
+    return F.filter(F.split(text, pattern), lambda w: w != "")
+
+
 def dense_features(columns: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns])
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -76,16 +78,28 @@ def svm_weights(
     Labels are {0, 1}; there is no intercept.  ``penalty`` is "l2" (shrink) or
     "l1" (soft threshold after the step).
     """
-    weights = [0.0] * len(features)
-    # one array and one vector sum per step: the plan grows with the features only by their names
-    rows = df.select(
-        (F.col(label) * 2.0 - 1.0).alias("y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")
-    )
+    weights, k = [0.0] * len(features), len(features)
+    columns = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]
+    rows = df.select(*columns, (F.col(label) * 2.0 - 1.0).alias("y"))
+
+    def pulled(now: np.ndarray):
+        """Two matrix products per Arrow batch, one row out per task."""
+
+        def run(batches):
+            total, n = np.zeros(k), 0
+            for part in batches:
+                cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                x, y = cells[:, :k], cells[:, k]
+                total += np.where(y * (x @ now) < 1, -y, 0.0) @ x
+                n += len(y)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["g", "n"])
+
+        return rows.mapInArrow(run, "g array<double>, n bigint")
+
     for t in range(1, iterations + 1):
-        margin = F.aggregate(F.zip_with("x", _literal(weights), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        pull = F.when(F.col("y") * margin < 1, -F.col("y")).otherwise(F.lit(0.0))
-        pulled = rows.select("x", pull.alias("pull")).select(F.transform("x", lambda v: v * F.col("pull")).alias("g"))
-        mean = pulled.agg(vector_to_array(Summarizer.mean(array_to_vector("g"))).alias("g")).first()["g"]
+        sums = pulled(np.array(weights)).agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"), F.sum("n").alias("n"))
+        row = sums.first()
+        mean = [g / row["n"] for g in row["g"]] if row["n"] else weights
         rate = step / math.sqrt(t)
         gradient = list(mean)
         if penalty == "l1":

@@ -178,10 +178,14 @@ TOKENS_SQL = r"""select doc_id, unnest(regexp_split_to_array(text, '[ \t\n\v\f\r
         from ({TOKENS_SQL}) where token <> '' group by doc_id""",
 )
 def p15(t):
-    words = C.tokens(t.documents, "text", keep=["doc_id"])
-    per_word = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return per_word.groupBy("doc_id").agg(
-        F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.max(F.length("token")).cast("bigint").alias("longest")
+    """Counted inside each document's row: no token is shuffled."""
+    words = C.token_list("text")
+    counted = t.documents.select("doc_id", words.alias("words")).filter(F.size("words") > 0)
+    return counted.select(
+        "doc_id",
+        F.size("words").cast("bigint").alias("n_tokens"),
+        F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"),
+        F.array_max(F.transform("words", lambda w: F.length(w).cast("bigint"))).alias("longest"),
     )
 
 

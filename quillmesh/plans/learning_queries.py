@@ -18,6 +18,7 @@ from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer, Tokenize
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from quillmesh.operators.lookup import lookup_join
 from quillmesh.operators.sampling import hash_part, positioned_draws, seeded_draws
 from quillmesh.plans.bindings import FEATURES, order_features, with_features
 from quillmesh.plans.registry import query
-from quillmesh.plans.relational_queries import ratings
+from quillmesh.plans.relational_queries import RATINGS_SQL, ratings
 from quillmesh.session import materialise, scratch_path
 
 SCALED = ("quantity", "discount", "tax", "total")
@@ -89,6 +90,45 @@ def m1(t):
     return weight_rows(t, weights)
 
 
+# The headline job: 200 steps of size 1.0, without penalty or with the L1 one.
+SVM_STEPS = 200
+
+
+def svm_recursion_sql(iterations: int, regularisation: float, penalty: str) -> str:
+    """The same steps as a recursion over (t, weights)."""
+    stats = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in SCALED)
+    scaled = ", ".join(f"({c} - m_{c}) / s_{c} as {c}" for c in SCALED)
+    names, rate = ", ".join(f"w_{c}" for c in SCALED), "(1.0::double / sqrt(t + 1))"
+    margin = " + ".join(f"w_{c} * {c}" for c in SCALED)
+    sums = ", ".join(
+        f"sum(case when (2 * label - 1) * ({margin}) < 1 then -(2 * label - 1) * {c} else 0 end) / count(*) as g_{c}" for c in SCALED
+    )
+    if penalty == "l1":
+        moved = {c: f"(w_{c} - {rate} * g_{c})" for c in SCALED}
+        cells = ", ".join(f"sign({m}) * greatest(0, abs({m}) - {regularisation}::double * {rate}) as w_{c}" for c, m in moved.items())
+    else:
+        cells = ", ".join(f"w_{c} * (1 - {rate} * {regularisation}::double) - {rate} * g_{c} as w_{c}" for c in SCALED)
+    body = f""", st as (select {stats} from features), z as materialized (select id, label, {scaled} from features, st),
+      w(t, {names}) as (select 0, {', '.join('0.0::double' for _ in SCALED)}
+        union all
+        select t + 1, {cells} from (select t, {names}, {sums} from w, z where t < {iterations} group by t, {names}))
+      """
+    last = " union all ".join(f"select '{c}' as feature, round(w_{c}, 5) as weight from w where t = {iterations}" for c in SCALED)
+    return with_features(body + last).replace("with", "with recursive", 1)
+
+
+@query("m1_linear_svm_200_steps", svm_recursion_sql(SVM_STEPS, 0.0, "l2"))
+def m1_steps(t):
+    data = materialise(scaled_features(t), "scaled")
+    return weight_rows(t, L.svm_weights(data, "label", SCALED, iterations=SVM_STEPS))
+
+
+@query("m2_l1_svm_200_steps", svm_recursion_sql(SVM_STEPS, 0.02, "l1"))
+def m2_steps(t):
+    data = materialise(scaled_features(t), "scaled")
+    return weight_rows(t, L.svm_weights(data, "label", SCALED, iterations=SVM_STEPS, regularisation=0.02, penalty="l1"))
+
+
 @query("m1_linear_svm_solver")
 def m1_solver(t):
     data = L.training_table(scaled_features(t), SCALED)
@@ -262,6 +302,35 @@ def m12(t):
     return als.fit(observed).transform(observed).select("user", "item", "rate", F.round("prediction", 3).alias("prediction"))
 
 
+@query(
+    "m12_als_normal_equations",
+    f"""with {RATINGS_SQL} select count(distinct "user") as users, count(*) as n, 0::bigint as users_off from ratings""",
+)
+def m12_optimal(t):
+    """Given the item factors, every user's factor solves its regularised normal equations.
+
+    The last half step of the solver fits the users.  Per user one aggregate
+    sums (u v - r) v over its ratings; with rank numbers per user this is the
+    gradient but for the penalty, which weighs a user by its ratings.
+    """
+    rank, penalty = 10, 0.01
+    observed = materialise(ratings(t).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rate"), "ratings")
+    model = ALS(rank=rank, maxIter=20, regParam=penalty, userCol="user", itemCol="item", ratingCol="rate", seed=7).fit(observed)
+    factors = [f.select(F.col("id").cast("int").alias(k), V.as_doubles(F.col("features")).alias(n)) for f, k, n in ((model.userFactors, "user", "u"), (model.itemFactors, "item", "v"))]
+    pairs = observed.join(factors[0], "user").join(factors[1], "item")
+    gap = V.dot(F.col("u"), F.col("v")) - F.col("rate")
+    pull = pairs.withColumn("gap", gap).select("user", "u", F.abs("rate").alias("size"), "v", F.transform("v", lambda x: x * F.col("gap")).alias("pull"))
+    sums = pull.groupBy("user").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("pull"))).alias("pull"),
+        F.first("u").alias("u"), F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * V.norm(F.col("v"))).alias("size"),
+    )
+    gradient = F.zip_with("pull", "u", lambda p, u: p + u * penalty * F.col("n"))
+    # factors are stored as floats: seven digits of the terms' size
+    off = V.norm(gradient) > 1e-4 * (F.col("size") + 1)
+    judged = sums.select("n", off.alias("off"))
+    return judged.agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("n"), F.count_if("off").alias("users_off"))
+
+
 @query(
     "m13_kernels",
     """with c as (select label, unnest(generate_series(1, 64)) as i, embedding from embeddings),
