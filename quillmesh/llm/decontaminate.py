@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import U64, alnum_words, list_array, map_batches, mix, shingle_hashes, signed, text_key, word_hashes
+from quillmesh.llm.common import U64, alnum_words, fresh_name, list_array, map_batches, mix, shingle_hashes, signed, text_key, word_hashes
 from quillmesh.session import materialise
 
 SEED_WORDS = 5
@@ -223,6 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents that reproduce no benchmark item; the verdict goes by text, so it also holds without ids."""
-    found = matches(docs, benchmark, coverage).select(F.col("text_key").alias("__text_key")).distinct()
+    key = fresh_name(docs, "__text_key")
+    found = matches(docs, benchmark, coverage).select(F.col("text_key").alias(key)).distinct()
     found = materialise(found, "contaminated")
-    return docs.join(found, text_key() == F.col("__text_key"), "left_anti")
+    return docs.join(found, text_key() == F.col(key), "left_anti")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import U64, blank_words, list_array, map_batches, mix, shingle_hashes, signed, word_hashes
+from quillmesh.llm.common import U64, blank_words, fresh_name, list_array, map_batches, mix, shingle_hashes, signed, word_hashes
 from quillmesh.session import materialise
 
 DIMS = 256  # coordinates of a point
@@ -533,9 +533,10 @@ def one_per_component(docs: DataFrame, size: int = 3, percent: int = 90) -> Data
     """
     labels = link_components(docs, size, percent)
     kept = labels.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    kept = materialise(kept.select(F.col("doc_id").alias("__kept_id"), "__rows"), "kept")
+    own, times = fresh_name(docs, "__kept_id"), fresh_name(docs, "__rows")
+    kept = materialise(kept.select(F.col("doc_id").alias(own), F.col("__rows").alias(times)), "kept")
     # plain rows stay with their id only looked up; ids on several rows are reduced to one of them
-    same_id = F.col("doc_id").cast("long") == F.col("__kept_id")
-    single = docs.join(kept.filter("__rows = 1"), same_id, "left_semi")
-    several = docs.join(kept.filter("__rows > 1"), same_id, "left_semi").dropDuplicates(["doc_id"])
+    same_id = F.col("doc_id").cast("long") == F.col(own)
+    single = docs.join(kept.filter(F.col(times) == 1), same_id, "left_semi")
+    several = docs.join(kept.filter(F.col(times) > 1), same_id, "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -14,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import fresh_name
+
 BLANKS = " \t\n\x0b\f\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -91,22 +93,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c.lower() not in {*MEASURES, "rule_mask"}]
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(BLANKS))
+    own_body, own_words, own_lines = (fresh_name(docs, n) for n in ("__body", "__words", "__lines"))
     step = docs.select(
         *own,
-        body.alias("__body"),
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)).alias("__words"),
-        F.filter(F.split(body, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "").alias("__lines"),
+        body.alias(own_body),
+        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)).alias(own_words),
+        F.filter(F.split(body, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "").alias(own_lines),
     )
-    n = F.size("__words")
+    n = F.size(own_words)
     measured = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__words"), n).alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.regexp_count("__body", F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("__body", "\\P{L}+", "")).cast("long").alias("n_letters"),
+        F.length(F.array_join(own_words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(own_body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(own_lines) - F.size(F.array_distinct(own_lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(own_words), n).alias("n_repeat_words"),
+        F.size(own_lines).cast("long").alias("n_lines"),
+        F.regexp_count(own_body, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace(own_body, "\\P{L}+", "")).cast("long").alias("n_letters"),
     )
     # inline of one row keeps a later filter on the measurements from being pushed into them
     return step.select(*own, F.inline(F.array(measured)))
