@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import bpe_stream, decontaminate, jaccard_tree, quality_rules, secrets
+from quillmesh.llm.common import fresh_name
 from quillmesh.plans.registry import Tables
 from quillmesh.session import materialise, tune
 
@@ -49,14 +50,15 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
     file = public_tokenizers.path("word_bpe_49k.json")
     keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    ids, text = fresh_name(docs, "__ids"), fresh_name(docs, "__decoded")
     encoded = bpe_stream.encode(docs, file, keep)
-    decoded = bpe_stream.decode(encoded.withColumn("ids_kept", F.col("ids")), file)
+    decoded = bpe_stream.decode(encoded.withColumn(ids, F.col("ids")), file, out=text)
     return decoded.select(
         *keep,
         "n_tokens",
-        F.col("ids_kept").alias("ids"),
-        F.sha2("ids_kept", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col(ids).alias("ids"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(text, 256).alias("decoded_sha256"),
     )
 
 
