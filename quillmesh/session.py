@@ -78,6 +78,22 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again.
+
+    Whatever was made from them must have been written itself by then, as a
+    lost executor would otherwise send Spark back to files that are gone.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        root = scratch_root(spark).removeprefix("file:").rstrip("/")
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if root not in folder:
+                raise ValueError(f"{folder} is no table of the scratch folder")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pin(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partition and sort ``df`` by ``keys`` once, and checkpoint it that way.
 
