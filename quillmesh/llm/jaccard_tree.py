@@ -11,12 +11,18 @@ The tree has three levels, all of them keys of Spark shuffles:
 * Cells.  Sets within the threshold differ in at most D shingles, D following
   from the size band.  The groups are dealt into more than D blocks, so at
   least one block has equal counts on both sides; a cell is one block with
-  one vector of counts over 256 fine groups.  Only points that share a cell
-  can be linked, and each point sits in about one cell per six shingles.
+  one vector of counts over its fine groups, so many that different shingles
+  seldom count in the same one.  Only points that share a cell can be linked,
+  and each point sits in about one cell per two (0.8) to five (0.9) shingles.
 * Leaves.  A cell is cut into leaves of a bounded number of points.  Two leaves
   meet only if the bound of their boxes, the largest count per coordinate of
   each, allows a link.
 * Points.  Of two leaves that meet, the points are compared by their bounds.
+  Pairs of large sets, whose counts over ``DIMS`` groups say little, pass a
+  second bound over one group per four to eight shingles.
+
+Only pairs that pass the bounds cause texts to be read again: a bitmap of fixed
+size screens the documents, and the sets of what is left are built and compared.
 
 Components need no pair inside a connected group: each point is first verified against
 the leading point of its cells, the verified links are contracted, and only
@@ -39,14 +45,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import U64, blank_words, fresh_name, list_array, map_batches, mix, shingle_hashes, signed, word_hashes
-from quillmesh.session import materialise
+from quillmesh.session import discard, materialise
 
 DIMS = 256  # coordinates of a point
-FINE = 256  # fine groups per block
-LEAF = 256  # points per leaf
+FINE = 1 << 32  # fine groups per block; with few, blocks of one shingle agree by chance and cells grow with the table
+LEAF = 1024  # points per leaf of a cell; a point is placed once per leaf that its own one meets
+SET_LEAF = 256  # sets per leaf of a component, for the join proper
+FULL = 127  # counts of a point stop here, and then say nothing; fine points serve sets that large
+FEW = 8  # shingles per coordinate above which a set also has a fine point
+SCREEN_BITS = 26  # 8 MB whatever the number of wanted ids; a full bitmap only screens less
 
 _POINT = (
-    "doc_id bigint, n_shingles bigint, key bigint, key2 bigint, point array<smallint>, cells array<bigint>"
+    "doc_id bigint, n_shingles bigint, key bigint, key2 bigint, point array<tinyint>, fine array<smallint>, "
+    "cells array<bigint>"
 )
 
 
@@ -116,15 +127,37 @@ def _set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=U64).view(np.int64)), int(mix(s).sum(dtype=U64).view(np.int64))
 
 
+def counts_over(s: np.ndarray, dims: int) -> np.ndarray:
+    """Shingles per group, ``dims`` being a power of two."""
+    return np.bincount((s >> U64(20)).astype(np.int64) & (dims - 1), minlength=dims)
+
+
+def fine_point(s: np.ndarray) -> np.ndarray:
+    """The counts of a large set over more groups; empty for a set that ``DIMS`` groups serve."""
+    if len(s) <= FEW * DIMS:
+        return np.empty(0, np.int16)
+    return np.minimum(counts_over(s, 1 << (len(s) // FEW).bit_length()), 32767).astype(np.int16)
+
+
+def fine_overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Bound of the overlap by two fine points; the longer one is folded onto the groups of the other."""
+    dims = min(len(a), len(b))
+    full = (a == 32767).any() or (b == 32767).any()  # such a count is no upper bound
+    if full or not dims:
+        return 1 << 40
+    a, b = (x.astype(np.int64).reshape(-1, dims).sum(axis=0) for x in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 def points(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document its set size, two 64-bit keys of the set, its point and its cells."""
+    """Per document its set size, two 64-bit keys of the set, its points and its cells."""
 
     def rows(batch: pa.RecordBatch):
         ids = batch.column(0)
         sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
         keys = [_set_keys(s) for s in sets]
-        vectors = [np.bincount((s >> U64(20)).astype(np.int64) & (DIMS - 1), minlength=DIMS) for s in sets]
-        vectors = [np.minimum(v, 32767).astype(np.int16) if len(s) else v[:0].astype(np.int16) for v, s in zip(vectors, sets)]
+        vectors = [np.minimum(counts_over(s, DIMS), FULL).astype(np.int8) for s in sets]
+        vectors = [v if len(s) else v[:0] for v, s in zip(vectors, sets)]
         # a null id takes part in no link
         cells = [
             signed(cells_of(s, percent)) if len(s) and i is not None else np.empty(0, np.int64)
@@ -136,10 +169,11 @@ def points(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([k[0] for k in keys], pa.int64()),
                 pa.array([k[1] for k in keys], pa.int64()),
-                list_array(vectors, pa.int16()),
+                list_array(vectors, pa.int8()),
+                list_array([fine_point(s) for s in sets], pa.int16()),
                 list_array(cells, pa.int64()),
             ],
-            names=["doc_id", "n_shingles", "key", "key2", "point", "cells"],
+            names=["doc_id", "n_shingles", "key", "key2", "point", "fine", "cells"],
         )
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _POINT, rows)
@@ -192,6 +226,21 @@ def _different_cells(members: DataFrame) -> DataFrame:
     return members.join(kept.select("cell", F.col("n").alias("size")), "cell")
 
 
+def _screened(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``node`` may be wanted, so that no other text is shuffled.
+
+    The bitmap has at most 2^SCREEN_BITS bits in rows of 4 KB, which bounds the broadcast.
+    """
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << SCREEN_BITS)) + 1
+    marks = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    at = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2))
+    placed = texts.withColumn("spot", spot).withColumn("bucket", F.bitmap_bucket_number("spot"))
+    return placed.join(F.broadcast(marks), "bucket").filter(bit == 1).select(*texts.columns)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of the wanted nodes, read from the documents again.
 
@@ -208,7 +257,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             names=["node", "shingles"],
         )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").distinct()
+    wanted = materialise(wanted, "wanted")
+    texts = _screened(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), wanted)
+    texts = texts.join(wanted, "node").distinct()
     return map_batches(texts.select("node", "text", "key", "key2"), "node bigint, shingles array<bigint>", rows)
 
 
@@ -220,18 +271,38 @@ def _needed(n_a, n_b, percent: int):
 def overlap_bound(a, b):
     """Sum of coordinate minima: no two sets with these counts share more.
 
-    Counts stop at 32767, so a coordinate that full says nothing.
+    Counts stop at ``FULL``, so a coordinate that full says nothing.
     """
-    least = F.zip_with(a, b, lambda x, y: F.when((x == 32767) | (y == 32767), F.lit(1 << 40)).otherwise(F.least(x, y).cast("long")))
+    least = F.zip_with(a, b, lambda x, y: F.when((x == FULL) | (y == FULL), F.lit(1 << 40)).otherwise(F.least(x, y).cast("long")))
     return F.aggregate(least, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, few: bool = True) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that are links: bound first, then the sets.
+def _within_fine_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ``a, b, n_a, n_b`` that the fine points of two large sets let through."""
 
-    ``few``: only part of the nodes is in a pair, so the sets are narrowed to
-    those before both sides of the pairs meet them.
-    """
+    def rows(batch: pa.RecordBatch):
+        need = batch.column(2).to_numpy()
+        lists = [batch.column(k) for k in (3, 4)]
+        values = [x.values.to_numpy() for x in lists]
+        starts = [x.offsets.to_numpy() for x in lists]
+        part = lambda side, k: values[side][starts[side][k] : starts[side][k + 1]]
+        keep = pa.array([k for k in range(len(need)) if fine_overlap(part(0, k), part(1, k)) >= need[k]], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1)], names=["a", "b"])
+
+    both_large = F.least("n_a", "n_b") > FEW * DIMS
+    fine = nodes.filter(F.col("n_shingles") > FEW * DIMS)
+    large = (
+        pairs.filter(both_large)
+        .select("a", "b", _needed(F.col("n_a"), F.col("n_b"), percent).alias("need"))
+        .join(fine.select(F.col("node").alias("a"), F.col("fine").alias("f_a")), "a")
+        .join(fine.select(F.col("node").alias("b"), F.col("fine").alias("f_b")), "b")
+        .select("a", "b", "need", "f_a", "f_b")
+    )
+    return pairs.filter(~both_large).select("a", "b").union(map_batches(large, "a bigint, b bigint", rows))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that are links: bounds first, then the sets of what they let through."""
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("point").alias("p_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("point").alias("p_b"))
     bounded = (
@@ -239,16 +310,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
         .join(b, "b")
         .filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
         .filter(overlap_bound(F.col("p_a"), F.col("p_b")) >= _needed(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b")
+        .select("a", "b", "n_a", "n_b")
     )
-    if few:
-        bounded = materialise(bounded, "bounded")
-        sets = sets.join(bounded.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
-    both = bounded.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
+    bounded = materialise(bounded, "bounded")
+    likely = materialise(_within_fine_bound(bounded, nodes, percent), "likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialise(_sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "key", "key2"), size), "sets")
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
     )
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
+    links = both.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
+    links = materialise(links, "links")
+    discard(bounded, likely, sets)
+    return links
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -275,44 +350,51 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def _connect(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(points of all rows, classes, sets of the points that share a cell, their components)."""
+    """(set size and keys of all rows, classes, points that share a cell, their components)."""
     pts = materialise(points(docs, size, percent), "points")
     linked = pts.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(linked.groupBy("key", "key2").agg(F.min("doc_id").alias("node")), "classes")
 
     # One point per set: copies share its cells, so only the least id enters them.
     chosen = linked.join(classes, ["key", "key2"]).filter("node = doc_id").drop("doc_id")
-    chosen = chosen.select("node", "key", "key2", "n_shingles", "point", "cells")
-    members = materialise(_shared_cells(chosen.select("node", F.explode("cells").alias("cell"))), "members")
-    members = materialise(_different_cells(members), "cells")
+    shared = materialise(_shared_cells(chosen.select("node", F.explode("cells").alias("cell"))), "members")
+    members = materialise(_different_cells(shared), "cells")
     used = members.filter("node <> lead").select(F.explode(F.array("node", "lead")).alias("node")).distinct()
     nodes = linked.join(used.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    nodes = nodes.select(F.col("doc_id").alias("node"), "key", "key2", "n_shingles", "point")
+    nodes = nodes.select(F.col("doc_id").alias("node"), "key", "key2", "n_shingles", "point", "fine")
     nodes = materialise(nodes.join(classes, ["node", "key", "key2"], "left_semi").dropDuplicates(["node"]), "nodes")
-    sets = materialise(_sets_of(docs, nodes.select("node", "key", "key2"), size), "sets")
+    rows = materialise(pts.select("doc_id", "n_shingles", "key", "key2"), "rows")
+    discard(pts, shared)
 
     # Round 1: every node with the least leader of its cells.
     first = members.filter("node <> lead").groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b")
-    links = materialise(_verified(first, nodes, sets, percent, few=False), "links")
+    links = _verified(first, nodes, docs, size, percent)
     found = contract(links)
     # Round 2: with every other leader it is not yet connected to.
     apart = _relabelled(members.filter("node <> lead").select("node", "lead").distinct(), found, ("node", "lead"))
     second = apart.filter("c_node <> c_lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    links = links.union(materialise(_verified(second, nodes, sets, percent), "links"))
+    links = links.union(_verified(second, nodes, docs, size, percent))
     found = contract(links)
     # Round 3: cells whose nodes stay apart, bound by bound down the tree; of two groups the closest pair first.
     labelled = _relabelled(members.select("cell", "node", "size").distinct(), found, ("node",))
     mixed = labelled.groupBy("cell").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high")).filter("low <> high")
-    left = labelled.join(mixed.select("cell"), "cell").join(nodes.select("node", "n_shingles", "point"), "node")
-    near = materialise(_descend(materialise(left, "open-cells"), percent), "near")
+    left = materialise(labelled.join(mixed.select("cell"), "cell"), "open-cells")
+    left = left.join(nodes.select("node", "n_shingles", "point"), "node")
+    near = materialise(_descend(left, percent), "near")
     closest = near.groupBy("c_a", "c_b").agg(F.max(F.struct("slack", "a", "b")).alias("best")).select("best.a", "best.b")
-    links = links.union(materialise(_verified(closest, nodes, sets, percent), "links"))
+    links = links.union(_verified(closest, nodes, docs, size, percent))
     found = contract(links)
     rest = _relabelled(near.select("a", "b"), found, ("a", "b")).filter("c_a <> c_b").select("a", "b")
-    links = links.union(materialise(_verified(rest, nodes, sets, percent), "links"))
+    links = links.union(_verified(rest, nodes, docs, size, percent))
     found = contract(links)
 
-    return pts, classes, sets, found
+    return rows, classes, nodes, found
+
+
+def _sets_of_found(docs: DataFrame, nodes: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """The sets of all nodes that are linked with others."""
+    ends = found.select(F.explode(F.array("node", "component")).alias("node")).distinct()
+    return materialise(_sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "key", "key2"), size), "sets")
 
 
 def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -398,7 +480,7 @@ def _descend(left: DataFrame, percent: int) -> DataFrame:
         leaf, node, comp, n = (table.column(c).to_numpy() for c in ("leaf", "node", "c_node", "n_shingles"))
         first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         point = table.column("point").combine_chunks().flatten().to_numpy().reshape(len(node), DIMS).astype(np.int32)
-        point[point == 32767] = 1 << 22  # a full coordinate says nothing
+        point[point == FULL] = 1 << 22  # a full coordinate says nothing
         out = []
         for k in range(len(node) - 1):
             rest = slice(k + 1, len(node))
@@ -431,7 +513,7 @@ def _meeting_leaves(sets: DataFrame, found: DataFrame) -> DataFrame:
     """``component, i, j, leaf, node, shingles``: every two leaves of a component in one group, sorted by it."""
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     inside = materialise(found.select("node", "component").union(roots), "inside")
-    counted = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).cast("int").alias("leaves"))
+    counted = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(SET_LEAF)).cast("int").alias("leaves"))
     leaf = F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")
     placed = inside.join(counted, "component").withColumn("leaf", leaf)
     other = F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("other")
@@ -508,7 +590,8 @@ def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     Rows of one class have equal sets; the pairs of documents are those of the
     classes by membership, which would repeat every link once per pair of copies.
     """
-    pts, classes, sets, found = _connect(docs, size, percent)
+    pts, classes, nodes, found = _connect(docs, size, percent)
+    sets = _sets_of_found(docs, nodes, found, size)
     return _pairs_of(sets, found, percent), _with_class(pts, classes)
 
 
@@ -518,7 +601,8 @@ def link_counts(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     ``n_links`` is the number of other classes the row's class is linked with,
     so copies do not count; 0 without words, null without id.
     """
-    pts, classes, sets, found = _connect(docs, size, percent)
+    pts, classes, nodes, found = _connect(docs, size, percent)
+    sets = _sets_of_found(docs, nodes, found, size)
     counts = materialise(_counts_of(sets, found, percent), "link-counts")
     rows = _with_class(pts, classes).join(counts.withColumnRenamed("node", "class_id"), "class_id", "left")
     number = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("n_links", F.lit(0)))

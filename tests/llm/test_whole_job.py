@@ -25,6 +25,7 @@ def test_pipeline_joins_copies_on_five_words(spark):
 def test_join_finds_every_link(spark, monkeypatch, leaf):
     """Families of mutually linked edited copies: all their pairs, not only those that connect them."""
     monkeypatch.setattr(jaccard_tree, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_tree, "SET_LEAF", leaf)
     texts = lookalikes(11, 3, (25, 35), (100, 140), (0, 3))
     docs = [*texts, (900, texts[0][1]), (901, ""), (902, None), (None, "no id here")]
     classes = {}
