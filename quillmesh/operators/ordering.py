@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.session import materialise
@@ -67,35 +67,28 @@ def _running_offsets(totals: DataFrame, measures: Sequence[str]) -> DataFrame:
     )
 
 
-def consecutive_pairs(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    value: str,
-    slice_of: Column,
-) -> DataFrame:
+def consecutive_pairs(df: DataFrame, key: str, order: Sequence[str], value: str, slices: int | None = None) -> DataFrame:
     """(previous, current) values of neighbouring rows per key; the first row of a key has no pair.
 
-    A key may hold a large share of all rows, so its rows are windowed in the
-    slices ``slice_of`` cuts the order into (it must not decrease along
-    ``order``); only the last row of every slice travels to the next one.
+    A key may hold any share of the rows, so the table is cut along (key, order)
+    into slices of about equal counts, which are windowed apart.  Only the first
+    key of a slice can have rows in the one before it, so a single row, the last
+    of that slice, is carried over; there are as many of them as slices.  The
+    order must be unique within a key.  A null key is a key like any other.
     """
-    rows = df.select(key, *order, F.col(value).alias("current"), slice_of.alias(_SLICE))
-    step = Window.partitionBy(key, _SLICE).orderBy(*order)
-    inside = rows.select(
-        "*",
-        F.lag("current").over(step).alias("__lag"),
-        F.row_number().over(step).alias("__rank"),
-        F.lead(F.lit(True)).over(step).isNull().alias("__final"),
+    rows = df.select(key, *order, F.col(value).alias("current"))
+    sliced = materialise(_range_slices(rows, [key, *order], slices), "pairs")
+    ends = sliced.groupBy(_SLICE).agg(
+        F.min(F.struct(key)).alias("__head"),
+        F.max_by(F.struct(F.col(key).alias("key"), "current"), F.struct(key, *order)).alias("__tail"),
     )
-    # the carried value sits in a struct, so a null value still counts as a previous row
-    last = inside.filter("__final").select(key, _SLICE, F.struct("current").alias("__last"))
-    carried = last.select(
-        key,
-        F.lead(_SLICE).over(Window.partitionBy(key).orderBy(_SLICE)).alias(_SLICE),
-        F.col("__last").alias("__carried"),
-    ).filter(F.col(_SLICE).isNotNull())
-    joined = inside.join(carried, [key, _SLICE], "left")
-    previous = F.when(F.col("__rank") == 1, F.col("__carried.current")).otherwise(F.col("__lag"))
-    has_previous = (F.col("__rank") > 1) | F.col("__carried").isNotNull()
-    return joined.filter(has_previous).select(key, *order, previous.alias("previous"), "current")
+    # one row per range slice; the struct lets a null value count as a previous row
+    carried = ends.select(_SLICE, "__head", F.lag("__tail").over(Window.orderBy(_SLICE)).alias("__carried"))
+    carried = carried.filter(F.col("__carried.key").eqNullSafe(F.col(f"__head.{key}")) & F.col("__carried").isNotNull())
+    step = Window.partitionBy(_SLICE, key).orderBy(*order)
+    inside = sliced.withColumn("__lag", F.lag(F.struct("current")).over(step))
+    joined = inside.join(F.broadcast(carried), _SLICE, "left")
+    over_edge = F.when(F.col("__carried.key").eqNullSafe(F.col(key)), F.struct(F.col("__carried.current").alias("current")))
+    before = F.when(F.col("__carried").isNull(), F.col("__lag")).otherwise(F.coalesce("__lag", over_edge))
+    paired = joined.withColumn("__before", before).filter("__before is not null")
+    return paired.select(key, *order, F.col("__before.current").alias("previous"), "current")

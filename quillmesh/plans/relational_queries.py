@@ -235,7 +235,7 @@ def o1(t):
          row_number() over w as k from events window w as (partition by user_id order by ts, event_id)) where k > 1""",
 )
 def w1(t):
-    return consecutive_pairs(t.events, "user_id", ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
+    return consecutive_pairs(t.events, "user_id", ["ts", "event_id"], "value")
 
 
 WORDS_SQL = r"""select token, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \t\n\v\f\r]+')) as token

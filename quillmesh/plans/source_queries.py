@@ -121,6 +121,11 @@ def s7(t):
     return libsvm_summary(t, len(FEATURES))
 
 
+@query("s7_libsvm_read_any_width", with_features(LIBSVM_SQL))
+def s7_any_width(t):
+    return libsvm_summary(t, None)
+
+
 @query("s8_point_literals", with_features(POINTS_SQL))
 def s8(t):
     inner = F.concat_ws(",", *[F.col(c).cast("string") for c in ("n_lines", "quantity", "total")])

@@ -72,9 +72,10 @@ def point_literals(lines: DataFrame) -> DataFrame:
     return lines.select(label.alias("label"), _numbers(F.split(inner, r"\s*,\s*")).alias("features"))
 
 
-def read_libsvm(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """LIBSVM files; giving the width saves the pass that would find it."""
-    return spark.read.format("libsvm").option("numFeatures", str(width)).load(path)
+def read_libsvm(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """LIBSVM files; giving the width saves the pass that finds the largest index."""
+    reader = spark.read.format("libsvm")
+    return (reader if width is None else reader.option("numFeatures", str(width))).load(path)
 
 
 def vertices_with_tail(lines: DataFrame) -> DataFrame:

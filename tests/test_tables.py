@@ -114,7 +114,7 @@ def test_consecutive_pairs_of_a_hot_key(spark):
     chance = random.Random(2)
     data = [(0 if chance.random() < 0.4 else chance.randrange(1, 9), t, float(chance.randrange(50)) if t % 11 else None) for t in range(400)]
     df = spark.createDataFrame(data, "user int, t int, v double")
-    found = O.consecutive_pairs(df, "user", ["t"], "v", F.floor(F.col("t") / 25))
+    found = O.consecutive_pairs(df, "user", ["t"], "v", slices=16)
     expected, last = {}, {}
     for user, t, v in data:
         if user in last:
@@ -123,6 +123,29 @@ def test_consecutive_pairs_of_a_hot_key(spark):
     assert {(r["user"], r["t"]): (r["previous"], r["current"]) for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("slices", [1, 7, 40])
+def test_consecutive_pairs_of_one_key_in_many_slices(spark, slices):
+    # one key holds all rows but those of two single ones; the null key is a key too
+    data = [(None, t, t * t % 13 if t % 5 else None) for t in range(90)] + [(1, 3, 1), (2, 4, 2)]
+    df = spark.createDataFrame(data, "user int, t int, v int")
+    found = O.consecutive_pairs(df, "user", ["t"], "v", slices=slices).collect()
+    values = [v for user, _, v in data if user is None]
+    assert sorted((r["t"], r["previous"], r["current"]) for r in found) == [(t, values[t - 1], values[t]) for t in range(1, 90)]
+    assert {r["user"] for r in found} == {None}
+    used = O._range_slices(df, ["user", "t"], slices).select("__slice").distinct().count()
+    assert used >= min(slices, 30)
+    assert O.consecutive_pairs(df.limit(0), "user", ["t"], "v", slices=slices).count() == 0
+
+
+def test_libsvm_with_and_without_width(spark):
+    path = scratch_path(spark, "libsvm-width")
+    lines(spark, "1 1:2.0 4:1.5", "0 2:1.0", "1").write.text(path)
+    for width, size in ((None, 4), (6, 6)):
+        rows = RD.read_libsvm(spark, path, width).collect()
+        assert {r["features"].size for r in rows} == {size}
+        assert sorted((r["label"], r["features"].toArray().sum()) for r in rows) == [(0.0, 1.0), (1.0, 0.0), (1.0, 3.5)]
+
+
 def test_hash_split_is_a_partition_whatever_the_layout(spark):
     df = spark.range(2000)
     part = B.hash_part(F.col("id"), [0.7, 0.2, 0.1], seed=3)
