@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
 from quillmesh.functions import vectors as V
+from quillmesh.functions.tables import LongFields
 from quillmesh.operators import cleansing as C
 from quillmesh.operators.ordering import dense_index
 from quillmesh.plans.bindings import FEATURES, order_features, with_features
@@ -169,6 +170,15 @@ def p14(t):
     return C.value_counts_of(t.part, ["p_brand", "p_type", "p_name", "p_size"])
 
 
+@query(
+    "p14_long_fields_by_table_function",
+    """select p_partkey as id, unnest(['p_brand', 'p_type', 'p_name', 'p_size']) as field,
+         unnest([p_brand, p_type, p_name, p_size::varchar]) as value from part""",
+)
+def p14_long(t):
+    return LongFields(t.part.select("p_partkey", "p_brand", "p_type", "p_name", "p_size").asTable())
+
+
 TOKENS_SQL = r"""select doc_id, unnest(regexp_split_to_array(text, '[ \t\n\v\f\r]+')) as token from documents"""
 
 

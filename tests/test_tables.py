@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
 from quillmesh.functions import vectors as V
+from quillmesh.functions.tables import LongFields
 from quillmesh.operators import cleansing as C
 from quillmesh.operators import encoding as E
 from quillmesh.operators import ordering as O
@@ -137,6 +138,22 @@ def test_consecutive_pairs_of_one_key_in_many_slices(spark, slices):
     assert O.consecutive_pairs(df.limit(0), "user", ["t"], "v", slices=slices).count() == 0
 
 
+def test_table_function_from_frames_and_sql(spark):
+    df = spark.createDataFrame([(1, "x", 2), (2, None, None), (None, "y", 3)], "id int, a string, b int")
+    wanted = sorted(((i, f, v) for i, a, b in [(1, "x", "2"), (2, None, None), (None, "y", "3")] for f, v in (("a", a), ("b", b))), key=str)
+    found = LongFields(df.asTable())
+    assert found.columns == ["id", "field", "value"] and sorted(map(tuple, found.collect()), key=str) == wanted
+    spark.udtf.register("long_fields", LongFields)
+    df.createOrReplaceTempView("long_fields_input")
+    by_sql = spark.sql("SELECT * FROM long_fields(TABLE(long_fields_input))")
+    assert sorted(map(tuple, by_sql.collect()), key=str) == wanted
+    assert LongFields(df.select("id").asTable()).count() == 0 and LongFields(df.limit(0).asTable()).count() == 0
+    # 5,000 rows in three partitions stay where they are
+    many = spark.range(0, 5000, 1, 3).select("id", (F.col("id") * 2).alias("twice"))
+    out = LongFields(many.asTable()).withColumn("part", F.spark_partition_id())
+    assert out.filter("cast(value as long) = 2 * id").count() == 5000 and out.select("part").distinct().count() == 3
+
+
 def test_libsvm_with_and_without_width(spark):
     path = scratch_path(spark, "libsvm-width")
     lines(spark, "1 1:2.0 4:1.5", "0 2:1.0", "1").write.text(path)
