@@ -587,6 +587,16 @@ def m20(t):
     return best.transform(data).select("doc_id", "label", "prediction")
 
 
+@query("m20_grid_search_10_steps")
+def m20_headline(t):
+    """The grid at ten steps a fit: every cell with its mean area over the folds, and which one was chosen.  Words are split once."""
+    words = Tokenizer(inputCol="text", outputCol="words").transform(t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    texts = words.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    data = materialise(texts.select("words", "label", hash_part(F.col("doc_id"), [1, 1]).cast("int").alias("fold")), "folds")
+    _, cells = SC.text_grid_search(data, [10, 100, 1000], [0.1, 0.01], iterations=10)
+    return cells.withColumn("area", F.round("area", 4))
+
+
 @query("m21_single_prediction")
 def m21(t):
     """One hand-built sparse vector under a model of the whole table."""

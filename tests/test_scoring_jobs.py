@@ -5,13 +5,15 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from quillmesh.operators import kernels as K
 from quillmesh.operators import learning as L
+from quillmesh.operators import scoring as SC
 from quillmesh.operators import stages as ST
 from quillmesh.operators import trees as TR
 from quillmesh.operators.sampling import positioned_draws
@@ -180,3 +182,39 @@ def test_predictions_use_the_weights_known_when_a_batch_arrives(spark):
     found = {r["y"]: (r["prediction"], r["version"]) for r in table.collect()}
     assert found == {float(k): (pytest.approx(w), k + 1) for k, w in enumerate(seen)}
     assert seen[0] == pytest.approx(2.0) and seen[0] < seen[1] < seen[2]
+
+
+def test_grid_search_equals_its_cells_fitted_apart(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(300):
+        label = float(k % 3 == 0)
+        names = [f"w{rng.integers(40)}" for _ in range(6)] + [f"{'g' if label == (rng.random() < 0.8) else 'b'}{rng.integers(5)}"]
+        rows.append((names, label, k % 2))
+    data = materialise(spark.createDataFrame(rows, "words array<string>, label double, fold int"), "grid")
+    widths, penalties = [4, 64], [0.1, 0.01]
+    model, cells = SC.text_grid_search(data, widths, penalties, iterations=10)
+
+    def area(scored):
+        """Share of (good, bad) pairs in the right order, by ranks and half for ties."""
+        good = np.array([s for s, y in scored if y == 1.0])
+        bad = np.array([s for s, y in scored if y == 0.0])
+        return ((good[:, None] > bad).sum() + 0.5 * (good[:, None] == bad).sum()) / (len(good) * len(bad))
+
+    wanted = {}
+    for width in widths:
+        vectors = HashingTF(inputCol="words", outputCol="features", numFeatures=width).transform(data)
+        for penalty in penalties:
+            parts = []
+            for fold in (0, 1):
+                fitted = LogisticRegression(maxIter=10, regParam=penalty).fit(vectors.filter(F.col("fold") != fold))
+                scored = fitted.transform(vectors.filter(F.col("fold") == fold)).select(vector_to_array("rawPrediction")[1], "label")
+                parts.append(area([tuple(r) for r in scored.collect()]))
+            wanted[(width, penalty)] = np.mean(parts)
+    found = cells.collect()
+    assert {(r["slots"], r["penalty"]) for r in found} == set(wanted)
+    for r in found:
+        assert r["area"] == pytest.approx(wanted[(r["slots"], r["penalty"])], abs=1e-6)
+    chosen = [r for r in found if r["chosen"]]
+    assert len(chosen) == 1 and chosen[0]["area"] == max(r["area"] for r in found)
+    assert model.stages[0].getNumFeatures() == chosen[0]["slots"] and model.stages[1].getRegParam() == chosen[0]["penalty"]
