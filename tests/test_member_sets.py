@@ -65,3 +65,27 @@ def test_a_hop_shuffles_packed_members(spark):
     wide = {r["level"]: r["count"] for r in pairs}
     assert set(hops) == {2, 3, 4} and all(M.unpack(hops[n]).count() == wide[n] for n in hops)
     assert hops[3].agg(F.sum(F.length("members"))).first()[0] <= 2 * wide[3]
+
+
+def test_members_and_facts_are_merged_only_where_a_fact_reads_like_a_member(spark):
+    vertices = spark.range(4)
+    for fact, shuffled in (("2", True), ("x", False)):
+        edges = spark.createDataFrame([(0, 1, fact), (1, 2, "y"), (2, 3, "z")], "src bigint, dst bigint, fact string")
+        found = R.members_and_facts(PropertyGraph(vertices, edges), 2)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("Aggregate") == shuffled
+        # fact "2" of vertex 0 comes at level 2, member 2 at level 3: once, at the least level
+        of_zero = sorted((r["member"], r["level"]) for r in found.filter("id = 0").collect())
+        assert of_zero == sorted([("0", 1), ("1", 2), (fact, 2), ("y", 3)] + ([] if fact == "2" else [("2", 3)]))
+
+
+@pytest.mark.parametrize("key", ["g20_edge_facts_deep", "g26_reach_with_attributes_deep"])
+def test_least_and_greatest_texts_are_found_without_sorting_all_rows(spark, tmp_path, key):
+    import __spark_entry__ as entry_module
+
+    spark.sql("select id as c_custkey, concat('c', 9 - id) as c_name, 0 as c_nationkey, 1.5D as c_acctbal, 's' as c_mktsegment from range(9)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select id + 1 as o_orderkey, id as o_custkey, 'F' as o_orderstatus, 2.5D as o_totalprice, timestamp_ntz '2020-01-01 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority from range(6)").write.parquet(f"{tmp_path}/orders.parquet")
+    found = entry_module.queries()[key](spark, str(tmp_path))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    row = found.filter("id = 0").orderBy("level").collect()[-1]
+    assert (row["least"], row["greatest"]) == (("3:4:4:F:1-URGENT",) * 2 if key.startswith("g20") else ("c4", "c4"))
