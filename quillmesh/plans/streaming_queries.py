@@ -8,31 +8,41 @@ from quillmesh.operators import scoring as SC
 from quillmesh.plans.bindings import FEATURES, order_features, with_features
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational_queries import WORDS_SQL
-from quillmesh.session import scratch_path
+from quillmesh.session import input_bytes, scratch_path
 from quillmesh.sources.writers import write_lines
 from quillmesh.streaming import jobs as ST
 from quillmesh.streaming import line_source as LS
 
 
-def table_stream(t, name, columns=None, files=4):
-    """The rows of a driver table, spread over several files in no order, as a stream of one file per batch."""
+# input behind one incoming file; a task writes it, and another one reads it
+FILE_BYTES = 16 << 20
+
+
+def files_per_part(rows, parts=4):
+    """How many files each of ``parts`` takes, so that no file holds more than about FILE_BYTES of what ``rows`` are read from."""
+    return max(1, -(-input_bytes(rows) // (parts * FILE_BYTES)))
+
+
+def table_stream(t, name, columns=None, batches=4):
+    """The rows of a driver table, spread over files in no order, as a stream of ``batches`` micro-batches."""
     path = scratch_path(t.spark, "incoming")
     rows = getattr(t, name).select(*(columns or ["*"]))
-    rows.repartition(files).write.parquet(path)
-    return ST.file_stream(t.spark, path, rows.schema, "parquet", files_per_batch=1)
+    each = files_per_part(rows, batches)
+    rows.repartition(batches * each).write.parquet(path)
+    return ST.file_stream(t.spark, path, rows.schema, "parquet", files_per_batch=each)
 
 
-def line_folder(t, df, columns, sep=",", files=4):
-    """Rows as text lines in several files, so that a stream sees several batches."""
+def line_stream(t, df, columns, sep=",", batches=4):
+    """Rows as text lines in files of bounded size, as a stream of ``batches`` micro-batches."""
     path = scratch_path(t.spark, "incoming")
-    write_lines(df.repartition(files), path, columns, sep)
-    return path
+    each = files_per_part(df, batches)
+    write_lines(df.repartition(batches * each), path, columns, sep)
+    return ST.file_stream(t.spark, path, files_per_batch=each)
 
 
 @query("t1_new_files_source", "select o_orderkey::varchar || ',' || o_orderstatus || ',' || o_custkey::varchar as value from orders")
 def t1(t):
-    path = line_folder(t, t.orders, ["o_orderkey", "o_orderstatus", "o_custkey"])
-    return ST.to_table(ST.file_stream(t.spark, path, files_per_batch=1)).select("value")
+    return ST.to_table(line_stream(t, t.orders, ["o_orderkey", "o_orderstatus", "o_custkey"])).select("value")
 
 
 @query(
@@ -43,7 +53,7 @@ def t1(t):
 def t2(t):
     """Counting works on any stream with a value column, here text files instead of a socket."""
     words = t.events.select("event_type", F.concat(F.lit("user"), "user_id").alias("who"))
-    lines = ST.file_stream(t.spark, line_folder(t, words, ["event_type", "who"], sep=" "), files_per_batch=2)
+    lines = line_stream(t, words, ["event_type", "who"], sep=" ", batches=2)
     return ST.count_rows(ST.tokens(lines), ["token"])
 
 
@@ -86,25 +96,27 @@ def t4(t):
 def t5(t):
     """Drop two positions, empty fields become 0."""
     rows = t.customer.withColumn("segment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
-    path = line_folder(t, rows, ["c_name", "segment", "c_nationkey", "c_custkey"])
-    mapped = ST.map_records(ST.file_stream(t.spark, path, files_per_batch=2), dropped=[0, 2])
+    lines = line_stream(t, rows, ["c_name", "segment", "c_nationkey", "c_custkey"], batches=2)
+    mapped = ST.map_records(lines, dropped=[0, 2])
     return ST.to_table(mapped.select(F.array_join("fields", "|").alias("fields"))).select("fields")
 
 
 @query("t5_decorate", "select 'ok' || n_name || 'yes' as value from nation")
 def t5_decorate(t):
-    return ST.to_table(ST.decorate(ST.file_stream(t.spark, line_folder(t, t.nation, ["n_name"], files=2)))).select("value")
+    return ST.to_table(ST.decorate(line_stream(t, t.nation, ["n_name"], batches=2))).select("value")
 
 
 @query("t6_score_stream", with_features("select count(*) as n, 0::bigint as differing from features"))
 def t6(t):
     """A saved model scores rows as they arrive; every prediction must be the one it gives in batch."""
     path, model_path = scratch_path(t.spark, "rows"), scratch_path(t.spark, "model")
-    order_features(t).repartition(4).write.parquet(path)
+    features = order_features(t)
+    each = files_per_part(features)
+    features.repartition(4 * each).write.parquet(path)
     data = t.spark.read.parquet(path)
     SC.save_model(SC.train_forest(data, FEATURES, trees=5, depth=4), model_path)
     model = SC.load_model(model_path)
-    stream = ST.file_stream(t.spark, path, data.schema, "parquet", files_per_batch=2)
+    stream = ST.file_stream(t.spark, path, data.schema, "parquet", files_per_batch=2 * each)
     arrived = ST.to_table(ST.score_stream(stream, model, FEATURES).select("id", "prediction"))
     batch = SC.score(data, model, FEATURES).select("id", F.col("prediction").alias("expected"))
     return arrived.join(batch, "id").agg(
