@@ -84,7 +84,7 @@ def test_least_and_greatest_texts_are_found_without_sorting_all_rows(spark, tmp_
     import __spark_entry__ as entry_module
 
     spark.sql("select id as c_custkey, concat('c', 9 - id) as c_name, 0 as c_nationkey, 1.5D as c_acctbal, 's' as c_mktsegment from range(9)").write.parquet(f"{tmp_path}/customer.parquet")
-    spark.sql("select id + 1 as o_orderkey, id as o_custkey, 'F' as o_orderstatus, 2.5D as o_totalprice, timestamp_ntz '2020-01-01 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority from range(6)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select id + 1 as o_orderkey, nullif(id, 5) as o_custkey, 'F' as o_orderstatus, 2.5D as o_totalprice, timestamp_ntz '2020-01-01 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority from range(6)").write.parquet(f"{tmp_path}/orders.parquet")
     found = entry_module.queries()[key](spark, str(tmp_path))
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     row = found.filter("id = 0").orderBy("level").collect()[-1]
