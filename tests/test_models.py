@@ -191,3 +191,13 @@ def test_online_regression_of_collinear_features(spark):
     model = ST.OnlineRegression(spark, "y", ["a", "b"])
     model.update(df, 0)
     assert model.weights() == pytest.approx([1.0, 1.0])
+
+
+def test_tree_training_is_spread_over_all_cores(spark):
+    from quillmesh.operators.learning import spread_table, training_table
+
+    rows = spark.range(500).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("label")).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    spread = spread_table(rows, ["a"])
+    assert spread.rdd.getNumPartitions() >= cores > training_table(rows, ["a"]).rdd.getNumPartitions()
+    assert sorted(r["a"] for r in spread.collect()) == [float(i) for i in range(500)]
