@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import vectors as V
-from quillmesh.session import materialise
+from quillmesh.session import materialise, scratch_path
+
+BLOCK_BYTES = 1 << 18
 
 
 def _literal(values: Sequence[float]) -> Column:
@@ -64,6 +66,27 @@ def linear_margin(features: Sequence[str], weights: Sequence[float]) -> Column:
     return margin
 
 
+def matrix_blocks(df: DataFrame) -> DataFrame:
+    """(cells binary): the rows of ``df``, doubles all, written once as matrices of at most ``BLOCK_BYTES``, nulls as NaN.
+
+    A loop that reads the rows in every step then copies bytes instead of
+    turning each cell from Parquet to a row and from a row to Arrow.
+    """
+    most = max(1, BLOCK_BYTES // (8 * len(df.columns)))
+
+    def packed(batches):
+        for part in batches:
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+            blocks = [cells[at : at + most].tobytes() for at in range(0, len(cells), most)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["cells"])
+
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "blocks")
+    # small row groups: the reader holds the binaries of a whole group
+    options = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false", "compression": "snappy"}
+    df.mapInArrow(packed, "cells binary").write.options(**options).parquet(path)
+    return spark.read.schema("cells binary").parquet(path)
+
+
 def svm_weights(
     df: DataFrame,
     label: str,
@@ -80,21 +103,22 @@ def svm_weights(
     """
     weights, k = [0.0] * len(features), len(features)
     columns = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]
-    rows = df.select(*columns, (F.col(label) * 2.0 - 1.0).alias("y"))
+    blocks = matrix_blocks(df.select(*columns, (F.col(label) * 2.0 - 1.0).alias("y")))
 
     def pulled(now: np.ndarray):
-        """Two matrix products per Arrow batch, one row out per task."""
+        """Two matrix products per block, one row out per task."""
 
         def run(batches):
             total, n = np.zeros(k), 0
             for part in batches:
-                cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
-                x, y = cells[:, :k], cells[:, k]
-                total += np.where(y * (x @ now) < 1, -y, 0.0) @ x
-                n += len(y)
+                for block in part.column(0):
+                    cells = np.frombuffer(block.as_buffer(), float).reshape(-1, k + 1)
+                    x, y = cells[:, :k], cells[:, k]
+                    total += np.where(y * (x @ now) < 1, -y, 0.0) @ x
+                    n += len(y)
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["g", "n"])
 
-        return rows.mapInArrow(run, "g array<double>, n bigint")
+        return blocks.mapInArrow(run, "g array<double>, n bigint")
 
     for t in range(1, iterations + 1):
         sums = pulled(np.array(weights)).agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"), F.sum("n").alias("n"))

@@ -564,20 +564,26 @@ def m19(t):
 
 @query("m20_grid_search")
 def m20(t):
-    """Term-hash and regularisation grid over two hash folds of the labelled documents."""
+    """Term-hash and regularisation grid over two hash folds of the labelled documents.
+
+    Texts are split and hashed once, one column per width: a fit reads the
+    vectors of its own width, never the texts.
+    """
     texts = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    data = materialise(texts.withColumn("fold", hash_part(F.col("doc_id"), [1, 1])), "folds")
-    words = Tokenizer(inputCol="text", outputCol="words")
-    frequencies = HashingTF(inputCol="words", outputCol="features")
+    terms = Tokenizer(inputCol="text", outputCol="words").transform(texts.withColumn("fold", hash_part(F.col("doc_id"), [1, 1])))
+    widths = [10, 100, 1000]
+    for width in widths:
+        terms = HashingTF(inputCol="words", outputCol=f"terms{width}", numFeatures=width).transform(terms)
+    data = materialise(terms.drop("text", "words"), "folds")
     regression = LogisticRegression(maxIter=5)
     grid = (
         ParamGridBuilder()
-        .addGrid(frequencies.numFeatures, [10, 100, 1000])
+        .addGrid(regression.featuresCol, [f"terms{width}" for width in widths])
         .addGrid(regression.regParam, [0.1, 0.01])
         .build()
     )
     search = CrossValidator(
-        estimator=Pipeline(stages=[words, frequencies, regression]),
+        estimator=regression,
         estimatorParamMaps=grid,
         evaluator=BinaryClassificationEvaluator(),
         numFolds=2,

@@ -201,3 +201,32 @@ def test_tree_training_is_spread_over_all_cores(spark):
     spread = spread_table(rows, ["a"])
     assert spread.rdd.getNumPartitions() >= cores > training_table(rows, ["a"]).rdd.getNumPartitions()
     assert sorted(r["a"] for r in spread.collect()) == [float(i) for i in range(500)]
+
+
+def test_matrix_blocks_hold_every_row_in_bounded_blocks(spark, monkeypatch):
+    from pyspark.sql.types import BinaryType
+
+    monkeypatch.setattr(L, "BLOCK_BYTES", 64)
+    rows = [(float(i), None if i == 3 else -float(i)) for i in range(21)]
+    blocks = L.matrix_blocks(spark.createDataFrame(rows, "a double, b double").repartition(2))
+    assert blocks.schema[0].dataType == BinaryType()
+    cells = [np.frombuffer(r["cells"]).reshape(-1, 2) for r in blocks.collect()]
+    assert max(len(c) for c in cells) <= 4
+    found = sorted(map(tuple, np.vstack(cells).tolist()))
+    assert [a for a, _ in found] == [float(i) for i in range(21)]
+    assert [b for _, b in found if b == b] == [-float(i) for i in range(21) if i != 3]
+
+
+def test_grid_search_fits_on_vectors_not_texts(spark, tmp_path, monkeypatch):
+    from pyspark.ml.tuning import CrossValidator
+
+    from quillmesh.plans import learning_queries as Q_
+    from quillmesh.plans.registry import Tables
+
+    spark.createDataFrame([(i, "good words" if i % 3 else "bad words here") for i in range(60)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, fit = [], CrossValidator.fit
+    monkeypatch.setattr(CrossValidator, "fit", lambda self, data: seen.append(data.columns) or fit(self, data))
+    found = Q_.m20(Tables(spark, str(tmp_path))).collect()
+    assert "text" not in seen[0] and {"terms10", "terms100", "terms1000"} <= set(seen[0])
+    assert len(found) == 60 and all(r["label"] == r["prediction"] for r in found)
