@@ -1,5 +1,6 @@
 """Graph operators on small graphs whose answers are worked out by hand or by brute force."""
 
+import re
 import random
 from collections import defaultdict
 
@@ -225,3 +226,18 @@ def test_messages_to_both_ends_and_join_back(four):
     assert rows(sums, "id", "n", "total") == {(7, 2, 8.0), (3, 2, 12.0), (5, 3, 12.0), (2, 1, 5.0)}
     joined = four.join_vertices(sums.filter("n = 3"), "role", F.lit("hub"))
     assert rows(joined.vertices, "id", "role") == {(3, "student"), (7, "postdoc"), (5, "hub"), (2, "prof")}
+
+
+def test_silent_edges_are_dropped_before_the_shuffle(spark, monkeypatch):
+    """Only own states and edges that send are aggregated: a source in a star of silent vertices."""
+    from quillmesh.operators import graph as module
+
+    plans, plain = [], module.materialise
+    keep = lambda df, label="table": (label == "state" and plans.append(df)) or plain(df, label)
+    monkeypatch.setattr(module, "materialise", keep)
+    edges = spark.createDataFrame([(0, v, 1.0) for v in range(1, 6)] + [(v, 0, 1.0) for v in range(1, 6)], "src bigint, dst bigint, weight double")
+    vertices = spark.createDataFrame([(v,) for v in range(6)], "id bigint")
+    found = module.shortest_paths(module.PropertyGraph(vertices, edges), 0, "weight", cut_every=1)
+    assert sorted(map(tuple, found.collect())) == [(0, 0.0)] + [(v, 1.0) for v in range(1, 6)]
+    first = plans[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"own#\d+ OR", first)
