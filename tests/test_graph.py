@@ -1,7 +1,7 @@
 """Graph operators on small graphs whose answers are worked out by hand or by brute force."""
 
-import re
 import random
+import re
 from collections import defaultdict
 
 import pytest
