@@ -52,6 +52,7 @@ FINE = 1 << 32  # fine groups per block; with few, blocks of one shingle agree b
 LEAF = 1024  # points per leaf of a cell; a point is placed once per leaf that its own one meets
 SET_LEAF = 256  # sets per leaf of a component, for the join proper
 FULL = 127  # counts of a point stop here, and then say nothing; fine points serve sets that large
+SPARE = 4  # one block more per as many differing shingles, so that each set may leave out that many
 FEW = 8  # shingles per coordinate above which a set also has a fine point
 SCREEN_BITS = 26  # 8 MB whatever the number of wanted ids; a full bitmap only screens less
 
@@ -83,7 +84,7 @@ def blocks_of(band: int, percent: int) -> tuple[int, int]:
     differ = (100 - percent) * union // 100
     if differ == 0:
         return 1, 0
-    spare = 1 + differ // 400
+    spare = -(-differ // SPARE)
     return differ + 1 + spare, spare
 
 
@@ -94,9 +95,10 @@ def _salt(band: int, use: int) -> np.uint64:
 def cells_of(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Cells of one set, given its sorted distinct hashes.
 
-    A block without shingles normally gives no cell.  A set with more empty
-    blocks than the spare ones also enters the cells of its empty blocks, since
-    then the equal blocks of a pair may all be empty; its partner does the same.
+    The blocks with the fewest shingles say least: many sets have the same empty
+    blocks, and a frequent shingle alone in a block.  The ``spare`` least filled
+    ones give no cell.  Equal blocks are equally filled, so a pair, which agrees
+    on more than ``spare`` blocks, still shares the cell of the fullest of them.
     """
     n, out = len(shingles), []
     own = bisect_right(BANDS, n) - 1
@@ -105,13 +107,13 @@ def cells_of(shingles: np.ndarray, percent: int) -> np.ndarray:
         blocks, spare = blocks_of(band, percent)
         block = (shingles >> U64(32)) * U64(blocks) >> U64(32)  # does not fall along sorted hashes
         fine = mix(block * U64(FINE) + (shingles & U64(FINE - 1)) + _salt(band, 1))
-        first = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
-        sums = np.add.reduceat(fine, first)
-        used = block[first]
-        out.append(mix(sums + mix(used + _salt(band, 2))))
-        if blocks - len(used) > spare:
-            missing = np.setdiff1d(np.arange(blocks, dtype=U64), used)
-            out.append(mix(mix(missing + _salt(band, 3))))
+        filled = np.bincount(block.astype(np.int64), minlength=blocks)
+        used = np.flatnonzero(filled)
+        sums = np.zeros(blocks, dtype=U64)
+        sums[used] = np.add.reduceat(fine, np.cumsum(filled[used]) - filled[used])
+        order = np.argsort(-np.minimum(filled, 32767).astype(np.int16), kind="stable")  # of equally filled blocks the first
+        kept = order[: blocks - spare]
+        out.append(mix(sums[kept] + mix(kept.astype(U64) + _salt(band, 2))))
     return np.concatenate(out)
 
 

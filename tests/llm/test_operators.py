@@ -158,6 +158,29 @@ def test_every_pair_within_the_threshold_shares_a_cell():
             assert set(jaccard_tree.cells_of(a, 90)) & set(jaccard_tree.cells_of(b, 90))
 
 
+def test_every_pair_on_the_edge_of_the_threshold_shares_a_cell():
+    """Pairs that differ as much as a link may, of all sizes, at the thresholds of the pipeline and of op8."""
+    rng = np.random.default_rng(3)
+    for percent, n in [(p, n) for p in (80, 90) for n in [*range(1, 60), *rng.integers(60, 1500, 150)]]:
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        differ = (100 - percent) * n // 100
+        fresh = rng.integers(0, 1 << 64, 3 * n, dtype=np.uint64)
+        cut, grown, swapped = a[differ:], np.append(a, fresh[: n * 100 // percent - n]), np.append(a[differ // 2 :], fresh[: differ // 2])
+        for b in (cut, grown, swapped):
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                assert set(jaccard_tree.cells_of(np.sort(a), percent)) & set(jaccard_tree.cells_of(np.sort(b), percent))
+
+
+def test_sets_without_a_common_shingle_seldom_share_a_cell():
+    """Empty blocks put all sets of a size into the same cells, which then grew with the square of the table."""
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        sets = [np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in rng.integers(200, 1200, 300)]
+        held = np.unique(np.concatenate([np.unique(jaccard_tree.cells_of(s, percent)) for s in sets]), return_counts=True)[1]
+        assert held.max() <= 3 and held[held > 1].sum() <= 20
+
+
 def test_bpe_round_trip_follows_the_library(spark, awkward):
     own = Tokenizer.from_file(BPE)
     encoded = bpe_stream.encode(table(spark, awkward), BPE, ("doc_id", "key"))
