@@ -228,19 +228,19 @@ def _different_cells(members: DataFrame) -> DataFrame:
     return members.join(kept.select("cell", F.col("n").alias("size")), "cell")
 
 
-def _screened(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose ``node`` may be wanted, so that no other text is shuffled.
+def _screened(rows: DataFrame, wanted: DataFrame, *keys: str, out: str = "maybe") -> DataFrame:
+    """``rows`` with a column ``out``: false where their ``keys`` are surely none of ``wanted``.
 
     The bitmap has at most 2^SCREEN_BITS bits in rows of 4 KB, which bounds the broadcast.
     """
-    spot = F.pmod(F.xxhash64("node"), F.lit(1 << SCREEN_BITS)) + 1
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << SCREEN_BITS)) + 1
     marks = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
     marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
     at = F.bitmap_bit_position("spot")
     byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2))
-    placed = texts.withColumn("spot", spot).withColumn("bucket", F.bitmap_bucket_number("spot"))
-    return placed.join(F.broadcast(marks), "bucket").filter(bit == 1).select(*texts.columns)
+    placed = rows.withColumn("spot", spot).withColumn("bucket", F.bitmap_bucket_number("spot"))
+    return placed.join(F.broadcast(marks), "bucket", "left").select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias(out))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -260,8 +260,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         )
 
     wanted = materialise(wanted, "wanted")
-    texts = _screened(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), wanted)
-    texts = texts.join(wanted, "node").distinct()
+    texts = _screened(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), wanted, "node")
+    texts = texts.filter("maybe").drop("maybe").join(wanted, "node").distinct()
     return map_batches(texts.select("node", "text", "key", "key2"), "node bigint, shingles array<bigint>", rows)
 
 
@@ -357,13 +357,22 @@ def _connect(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     linked = pts.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(linked.groupBy("key", "key2").agg(F.min("doc_id").alias("node")), "classes")
 
-    # One point per set: copies share its cells, so only the least id enters them.
-    chosen = linked.join(classes, ["key", "key2"]).filter("node = doc_id").drop("doc_id")
-    shared = materialise(_shared_cells(chosen.select("node", F.explode("cells").alias("cell"))), "members")
+    # One point per set: copies share its cells, so only the least id enters them.  Cells are
+    # wide: a row that the screen shows to be no copy stays where it is, the others are looked up.
+    own = ["doc_id", "key", "key2"]
+    copies = materialise(linked.select(*own).join(classes, ["key", "key2"]).filter("node <> doc_id").select(*own), "copies")
+    looked = _screened(linked.select(*own, "cells"), copies, *own)
+    least = classes.select(F.col("node").alias("doc_id"), "key", "key2")
+    chosen = looked.filter("not maybe").select("doc_id", "cells").union(
+        looked.filter("maybe").join(least, own, "left_semi").select("doc_id", "cells")
+    )
+    in_cells = chosen.select(F.col("doc_id").alias("node"), F.explode("cells").alias("cell"))
+    shared = materialise(_shared_cells(in_cells), "members")
     members = materialise(_different_cells(shared), "cells")
     used = members.filter("node <> lead").select(F.explode(F.array("node", "lead")).alias("node")).distinct()
-    nodes = linked.join(used.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    nodes = nodes.select(F.col("doc_id").alias("node"), "key", "key2", "n_shingles", "point", "fine")
+    used = materialise(used, "used")
+    nodes = linked.select(F.col("doc_id").alias("node"), "key", "key2", "n_shingles", "point", "fine")
+    nodes = _screened(nodes, used, "node").filter("maybe").drop("maybe").join(used, "node", "left_semi")
     nodes = materialise(nodes.join(classes, ["node", "key", "key2"], "left_semi").dropDuplicates(["node"]), "nodes")
     rows = materialise(pts.select("doc_id", "n_shingles", "key", "key2"), "rows")
     discard(pts, shared)

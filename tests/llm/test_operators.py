@@ -181,6 +181,14 @@ def test_sets_without_a_common_shingle_seldom_share_a_cell():
         assert held.max() <= 3 and held[held > 1].sum() <= 20
 
 
+def test_screen_keeps_every_row_and_marks_the_wanted_ones(spark):
+    ids = spark.range(3000).withColumnRenamed("id", "node")
+    found = jaccard_tree._screened(ids, ids.filter("node % 7 = 0"), "node").collect()
+    assert len(found) == 3000 and all(r["maybe"] for r in found if r["node"] % 7 == 0)
+    assert sum(r["maybe"] for r in found if r["node"] % 7) < 5
+    assert not any(r["maybe"] for r in jaccard_tree._screened(ids, ids.filter("node < 0"), "node").collect())
+
+
 def test_bpe_round_trip_follows_the_library(spark, awkward):
     own = Tokenizer.from_file(BPE)
     encoded = bpe_stream.encode(table(spark, awkward), BPE, ("doc_id", "key"))
