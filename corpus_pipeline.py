@@ -16,9 +16,19 @@ from quillmesh.plans.registry import Tables
 from quillmesh.session import materialise, tune
 
 
+# Workers outlive their stage with what it took, beside those of the next one; a batch is read, worked on
+# and written in several copies by each of them.
+BATCH_BYTES = "2m"
+
+
+def _ready(spark: SparkSession) -> None:
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality policy rejects."""
-    tune(spark)
+    _ready(spark)
     whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
     judged = quality_rules.apply_policy(quality_rules.ledger(whole, "__text"))
     return judged.filter("kept").select("__row.*")
@@ -30,24 +40,26 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Five words and 0.8 keep edited copies together up to about 2.2 % of changed
     words; op8's three words and 0.9 would part them from 1.75 % on.
     """
-    tune(spark)
+    _ready(spark)
     return jaccard_tree.one_per_component(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that reproduce a benchmark item."""
-    return decontaminate.clean(docs, Tables(spark, sf_dir).benchmark)
+    items = Tables(spark, sf_dir).benchmark  # tunes the session itself
+    _ready(spark)
+    return decontaminate.clean(docs, items)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact secrets that look live; widely copied examples and all else stay."""
-    tune(spark)
+    _ready(spark)
     return secrets.redact(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode: all columns but the text, ``n_tokens``, ``ids`` and digests of the ids and of what they decode to."""
-    tune(spark)
+    _ready(spark)
     file = public_tokenizers.path("word_bpe_49k.json")
     keep = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
     ids, text = fresh_name(docs, "__ids"), fresh_name(docs, "__decoded")

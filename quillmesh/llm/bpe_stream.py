@@ -25,7 +25,6 @@ import json
 import re
 from array import array
 from bisect import bisect_left
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmesh.llm.common import fresh_name, map_batches
+from quillmesh.llm.common import fresh_name, map_batches, worker_table
 
 BLOCK = 1 << 15  # characters normalised at once
 CACHE_WORDS = 1 << 16  # in each of two generations; about 25 MB in all, whatever the vocabulary of the corpus
@@ -153,12 +152,12 @@ class MergeList:
         return out
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def load(path: str) -> MergeList:
     return MergeList(path)
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _file_rules(path: str):
     own = Tokenizer.from_file(path)
     return own.normalizer, own.pre_tokenizer
@@ -191,7 +190,7 @@ class _Words(dict):
         return array("I", self.merges.word(data)).tobytes()
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _words(path: str) -> _Words:
     return _Words(load(path))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +67,33 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+_TABLES: list = []  # caches of tables that a worker keeps between its tasks
+
+
+def worker_table(load: Callable) -> Callable:
+    """Keep what ``load`` returns for the later tasks of a worker, until the worker runs another module's operator."""
+    cached = lru_cache(maxsize=2)(load)
+    _TABLES.append(cached)
+    return cached
+
+
+def release_others(module: str) -> None:
+    """Drop the tables of all modules but ``module``; workers outlive their job, and so would its tables."""
+    held = [t for t in _TABLES if t.__module__ != module and t.cache_info().currsize]
+    for table in held:
+        table.cache_clear()
+    if held:
+        pa.default_memory_pool().release_unused()
+
+
 def map_batches(
     df: DataFrame, schema: T.StructType | str, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
     """Apply ``rows`` to each Arrow batch of ``df``; memory is bounded by one batch."""
+    module = rows.__module__
 
     def run(batches):
+        release_others(module)
         for batch in batches:
             yield from rows(batch)
 

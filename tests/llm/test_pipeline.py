@@ -3,12 +3,13 @@
 import re
 
 import public_tokenizers
+import pyarrow as pa
 from brute import base_spans, components, quality_row, sha
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from quillmesh.llm import quality_rules
+from quillmesh.llm import bpe_stream, common, quality_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,36 @@ def test_all_queries_are_registered():
     names = list(entry_module.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(entry_module.oracle_sql()) <= set(names)
+
+
+def test_stages_take_batches_of_two_megabytes(spark):
+    docs = spark.createDataFrame([(k, "a", "word " * 1000) for k in range(2000)], "doc_id long, source string, text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "jaccard_join":  # runs jobs of its own before it returns
+            stage(spark, docs, "/root/testdata/sf0.001")
+            largest = max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect())
+            assert largest < 3 << 20, name
+
+
+def test_worker_keeps_only_the_tables_of_its_operator():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    bpe_stream._words(file)["word"]
+    common.release_others("quillmesh.llm.bpe_stream")
+    assert bpe_stream.load.cache_info().currsize == bpe_stream._words.cache_info().currsize == 1
+    common.release_others("quillmesh.llm.jaccard_tree")
+    assert bpe_stream.load.cache_info().currsize == bpe_stream._words.cache_info().currsize == 0
+
+
+def test_operators_release_tables_before_their_first_batch():
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    bpe_stream._words(public_tokenizers.path("word_bpe_49k.json"))
+    run = common.map_batches(Table(), "n long", lambda batch: iter(()))
+    assert list(run(iter(()))) == [] and bpe_stream.load.cache_info().currsize == 0
